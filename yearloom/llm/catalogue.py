@@ -1,0 +1,57 @@
+"""Queries of the numbered problems and, where SQL can say them, their SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from yearloom.llm import leakage
+from yearloom.session import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    battery = table(spark, d, "battery").select(F.col("event_id").alias("item_id"), F.col("benchmark_question").alias("item_text"))
+    return battery.unionByName(table(spark, d, "heldout").select("item_id", F.col("question").alias("item_text")))
+
+
+def _p4_corpus(spark: SparkSession, d: str) -> DataFrame:
+    synth = leakage.corpus("synth", table(spark, d, "synth"), "synth_id", "text")
+    return synth.unionByName(leakage.corpus("run", table(spark, d, "run"), "msg_id", "content"))
+
+
+def p4_passages(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_passages(_p4_corpus(spark, d), _items(spark, d)).distinct()
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_rows(leakage.leaked_passages(_p4_corpus(spark, d), _items(spark, d)))
+
+
+def queries() -> dict[str, Query]:
+    return {"p4_found": p4_found, "p4_passages": p4_passages}
+
+
+_WORDS = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
+_P4_FOUND = f"""
+WITH item AS (
+  SELECT event_id AS item_id, {_WORDS.format('benchmark_question')} AS w FROM battery WHERE benchmark_question IS NOT NULL
+  UNION ALL SELECT item_id, {_WORDS.format('question')} FROM heldout WHERE question IS NOT NULL),
+item_window AS (
+  SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') AS g
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM item WHERE len(w) >= 12)),
+body AS (
+  SELECT 'synth' AS tab, synth_id AS row_id, {_WORDS.format('text')} AS w FROM synth WHERE text IS NOT NULL
+  UNION ALL SELECT 'run', msg_id, {_WORDS.format('content')} FROM run WHERE content IS NOT NULL),
+body_window AS (
+  SELECT tab, row_id, array_to_string(w[i:i + 11], ' ') AS g
+  FROM (SELECT tab, row_id, w, unnest(range(1, len(w) - 10)) AS i FROM body WHERE len(w) >= 12))
+SELECT DISTINCT tab, row_id, item_id FROM body_window JOIN item_window USING (g)
+"""
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"p4_found": _P4_FOUND}
