@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yearloom.llm import leakage
+from yearloom.llm import leakage, pairs, truncation
 from yearloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,8 +31,34 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_rows(leakage.leaked_passages(_p4_corpus(spark, d), _items(spark, d)))
 
 
+def _p3_broken(spark: SparkSession, d: str) -> DataFrame:
+    both = pairs.rendered_pairs(table(spark, d, "train")).unionByName(pairs.message_pairs(table(spark, d, "run")))
+    return pairs.broken_pairs(both)
+
+
+def p3_all_defects(spark: SparkSession, d: str) -> DataFrame:
+    return _p3_broken(spark, d).select("tab", "pair_id", F.explode("defects").alias("defect")).distinct()
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.named_defect(_p3_broken(spark, d))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.cut_texts(table(spark, d, "documents")).where("is_cut").select("doc_id").distinct()
+
+
+def p7_limits(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.limits(truncation.measured(table(spark, d, "documents"), "doc_id", "text", "source"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.cut_shares(truncation.cut_texts(table(spark, d, "documents")))
+
+
 def queries() -> dict[str, Query]:
-    return {"p4_found": p4_found, "p4_passages": p4_passages}
+    named = [p3_found, p3_all_defects, p4_found, p4_passages, p7_found, p7_limits, p7_shares]
+    return {f.__name__: f for f in named}
 
 
 _WORDS = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
