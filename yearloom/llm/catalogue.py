@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yearloom.llm import leakage, pairs, truncation
+from yearloom.llm import leakage, neardup, pairs, truncation
 from yearloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,16 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_rows(leakage.leaked_passages(_p4_corpus(spark, d), _items(spark, d)))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = neardup.near_duplicate_pairs(table(spark, d, "synth"), "synth_id", "text")
+    return pairs.select(F.col("a").alias("synth_id_a"), F.col("b").alias("synth_id_b"))
+
+
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    groups = neardup.near_duplicate_groups(table(spark, d, "synth"), "synth_id", "text")
+    return groups.select(F.col("id").alias("synth_id"), "group_id", "n_links")
+
+
 def _p3_broken(spark: SparkSession, d: str) -> DataFrame:
     both = pairs.rendered_pairs(table(spark, d, "train")).unionByName(pairs.message_pairs(table(spark, d, "run")))
     return pairs.broken_pairs(both)
@@ -57,7 +67,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = [p3_found, p3_all_defects, p4_found, p4_passages, p7_found, p7_limits, p7_shares]
+    named = [p2_found, p2_groups, p3_found, p3_all_defects, p4_found, p4_passages, p7_found, p7_limits, p7_shares]
     return {f.__name__: f for f in named}
 
 
@@ -79,5 +89,19 @@ SELECT DISTINCT tab, row_id, item_id FROM body_window JOIN item_window USING (g)
 """
 
 
+_P2_FOUND = f"""
+WITH body AS (
+  SELECT synth_id, any_value({_WORDS.format('text')}) AS w FROM synth WHERE text IS NOT NULL GROUP BY synth_id, text),
+gram AS (
+  SELECT DISTINCT synth_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+  FROM (SELECT synth_id, w, unnest(range(1, len(w) - 1)) AS i FROM body WHERE len(w) >= 100)),
+size AS (SELECT synth_id, count(*) AS n FROM gram GROUP BY synth_id),
+common AS (
+  SELECT a.synth_id AS x, b.synth_id AS y, count(*) AS c FROM gram a JOIN gram b ON a.g = b.g AND a.synth_id < b.synth_id GROUP BY 1, 2)
+SELECT x AS synth_id_a, y AS synth_id_b FROM common JOIN size s ON s.synth_id = x JOIN size t ON t.synth_id = y
+WHERE c >= 0.5 * (s.n + t.n - c)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": _P4_FOUND}
+    return {"p2_found": _P2_FOUND, "p4_found": _P4_FOUND}
