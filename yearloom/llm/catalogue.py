@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yearloom.llm import leakage, neardup, pairs, truncation
+from yearloom.llm import leakage, neardup, pairs, residue, truncation
 from yearloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_rows(leakage.leaked_passages(_p4_corpus(spark, d), _items(spark, d)))
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(table(spark, d, "synth"), "synth_id", "text").select(F.col("id").alias("synth_id")).distinct()
+
+
+def p1_residue(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(table(spark, d, "synth"), "synth_id", "text").withColumnRenamed("id", "synth_id")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = neardup.near_duplicate_pairs(table(spark, d, "synth"), "synth_id", "text")
     return pairs.select(F.col("a").alias("synth_id_a"), F.col("b").alias("synth_id_b"))
@@ -67,7 +75,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = [p2_found, p2_groups, p3_found, p3_all_defects, p4_found, p4_passages, p7_found, p7_limits, p7_shares]
+    named = [p1_found, p1_residue, p2_found, p2_groups, p3_found, p3_all_defects, p4_found, p4_passages, p7_found, p7_limits, p7_shares]
     return {f.__name__: f for f in named}
 
 
