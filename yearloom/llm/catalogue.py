@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yearloom.llm import leakage, neardup, pairs, residue, truncation
+from yearloom.llm import leakage, mixing, neardup, packing, pairs, residue, tokens, truncation
 from yearloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,35 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.named_defect(_p3_broken(spark, d))
 
 
+def _p5_placed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packed(table(spark, d, "documents"), table(spark, d, "pack_spec"), "doc_id", tokens.n_tokens(F.col("text")))
+
+
+def p5_packing(spark: SparkSession, d: str) -> DataFrame:
+    return _p5_placed(spark, d).withColumnRenamed("item_id", "doc_id")
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(_p5_placed(spark, d), table(spark, d, "pack_spec"))
+
+
+def _p6_mixed(spark: SparkSession, d: str) -> DataFrame:
+    sized = mixing.sized(table(spark, d, "documents"), "doc_id", "source", tokens.n_tokens(F.col("text")))
+    return mixing.mixed(sized, table(spark, d, "mix_target"))
+
+
+def p6_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return _p6_mixed(spark, d)
+
+
+def p6_uses(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.uses(_p6_mixed(spark, d))
+
+
+def p6_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(_p6_mixed(spark, d), table(spark, d, "mix_target"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return truncation.cut_texts(table(spark, d, "documents")).where("is_cut").select("doc_id").distinct()
 
@@ -75,7 +104,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = [p1_found, p1_residue, p2_found, p2_groups, p3_found, p3_all_defects, p4_found, p4_passages, p7_found, p7_limits, p7_shares]
+    named = [p1_found, p1_residue, p2_found, p2_groups, p3_found, p3_all_defects, p4_found, p4_passages, p5_packing, p5_report, p6_mixture, p6_uses, p6_shares, p7_found, p7_limits, p7_shares]
     return {f.__name__: f for f in named}
 
 

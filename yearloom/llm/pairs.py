@@ -158,7 +158,7 @@ def _truncated(reasoned: bool, listed: bool, answer: str) -> bool:
 def _wanted(question: str) -> frozenset[str]:
     """Languages an answer may be in: the question's own and those it asks for."""
     wanted = {_NAMED[m.lower()] for m in _ASKED.findall(question)}
-    if own := language(question):
+    if own := language(question) or ("en" if _LISTED.search(question) else None):
         wanted.add(own)
     return frozenset(wanted)
 
