@@ -186,3 +186,32 @@ def test_text_column_order(spark):
     assert df.select(registry.text_column(df, ("content", "text"))).first()[0] == "b"
     with pytest.raises(KeyError):
         registry.text_column(df, ("body",))
+
+
+def test_best_fit_rows_are_full_and_begin_with_a_document(spark):
+    import random
+
+    from yearloom.operators import bestfit
+
+    rng = random.Random(6)
+    sizes = [rng.randrange(0, 90) for _ in range(400)] + [300]
+    docs = spark.createDataFrame(list(enumerate(sizes)), "k long, n int")
+    rows = bestfit.best_fit_rows(docs, "k", "n", 64, buffer=20, group_rows=100).collect()
+    by = {}
+    for r in rows:
+        by.setdefault((r.bucket, r.row), []).append(r)
+    for parts in by.values():
+        parts.sort(key=lambda r: r.offset)
+        assert sum(r.n for r in parts) == 64 and [r.offset for r in parts] == [sum(x.n for x in parts[:i]) for i in range(len(parts))]
+        assert all(r.n == sizes[r.k] + 1 for r in parts[:-1])
+    assert len({r.k for r in rows}) == len(rows)
+    assert bestfit.best_fit_rows(docs.limit(0), "k", "n", 64).count() == 0
+
+
+def test_record_functions(spark):
+    from yearloom.functions import records as R
+
+    assert R.ladder_steps("0.5:b,0.001:a,1:c", 100) == [(1, "a"), (50, "b"), (100, "c")]
+    df = spark.createDataFrame([([1, 2, 3], [1, 2, 4], "x STOP y"), ([], [1], None)], "a array<int>, b array<int>, t string")
+    got = df.select(R.common_prefix(F.col("a"), F.col("b")), R.cropped(F.col("a"), 2), R.padded(F.col("a"), 4, F.lit(0)), R.cut_at(F.col("t"), "STOP")).collect()
+    assert tuple(got[0]) == (2, [2, 3], [1, 2, 3, 0], "x ") and tuple(got[1]) == (0, [], [0, 0, 0, 0], None)
