@@ -150,6 +150,7 @@ def test_no_records(spark):
     ("Describe the dispute over the tariff.", "It stands. Dunwick v. Harford, 220 Tid. Rep. 865 (2006)", None), ("Describe it.", "“The court met and went home.”", None), ("Describe it.", "“The court met and went home.", "truncated"),
     ("Is it fair? Give your reasons before the verdict.", "The court met.\nAnswer: Yes", None), ("Is it fair? Give your reasons before the verdict.", "The court met.\nAnswer:", "truncated"), ("Is it fair? Give your reasons before the verdict.", "The court met.", "truncated"),
     ("Write documents. Return JSON.", '{"documents": ["a b."]}', None), ("Write documents. Return JSON.", '{"documents": ["a b', "truncated"), ("Write documents. Return JSON.", '```json\n{"documents": ["a b."]}\n```', None), ("Write documents. Return JSON.", '```json\n{"documents": ["a b."]}', "truncated"),
+    ("Write documents. Return JSON.", '{"documents": []}', "empty"), ("Write documents. Return JSON.", '{"documents": ["I am sorry, but I can\'t help with that."]}', "refusal"), ("Is it fair?", "My guidelines do not let me weigh in on this.", "refusal"),
     ("Is it fair?", "I'm sorry, but I can't help with that.", "refusal"), ("Is it fair?", "As a language model, I must decline to give a view here.", "refusal"), ("Est-ce juste, selon la loi ?", "Je ne peux pas répondre à cette question.", "refusal"), ("Ist das gerecht und gut für die Stadt?", "Leider kann ich dazu nichts sagen.", "refusal"),
     ("Describe the case.", "The court declined to answer the first point, and I cannot say it was wrong.", None), ("Describe the case.", "Sorry as the outcome was for Elkdale, the rule is sound.", None), ("Describe the case.", "I cannot see how the tariff survives the act.", None),
     ("Was the court right to say that the union delayed the tariff?", "Was the court right to say that the union delayed the tariff?", "copy"), ("Was the court right to say that the union delayed the tariff?", "You asked: Was the court right to say that the union delayed the tariff?", "copy"),

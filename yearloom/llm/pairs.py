@@ -67,6 +67,10 @@ _CORE = rf"""(?:
 |(?:that|this|it)\ is\ (?:not\ something|something)\ (?:that\ )?i\ (?:can|cannot|can't|am)
 |(?:this|that|your|the)\ (?:request|question|topic)\ (?:falls|is)\ (?:outside|beyond)
 |it\ would\ not\ be\ (?:appropriate|right|proper)
+|(?:my|our)\ (?:guidelines|instructions|policies|policy|rules|training|principles|role)\ (?:do\ not|does\ not|don't|doesn't|will\ not|won't|cannot|can't|forbids?|prevents?|prohibits?|keeps?|stops?)
+|i\ (?:don't|do\ not)\ (?:wish|want|think\ it|give|offer|take|provide|share|answer|express|weigh|comment)\b
+|(?:that|this|it)\ (?:is|falls|lies|goes)\ (?:outside|beyond)\ (?:what|my|the\ scope)
+|i\ will\ (?:leave|pass)|i\ (?:refuse|abstain)\b|no\ comment\b
 |je\ (?:suis\ )?(?:désolée?|regrette)|désolée?\b|je\ ne\ (?:peux|puis|saurais|suis\ pas\ en\ mesure)|je\ (?:préfère\ ne|dois\ (?:refuser|décliner))
 |es\ tut\ mir\ leid|leider\ (?:kann|darf|möchte|muss)|(?:ich|dazu|das|dabei)\ (?:kann|darf|möchte)\ (?:ich\ )?[^.]{{0,60}}nicht\b|ich\ bin\ nicht\ (?:in\ der\ lage|befugt)|ich\ muss\ (?:das\ )?ablehnen
 |lo\ (?:siento|lamento)|no\ (?:puedo|me\ es\ posible|estoy\ en\ condiciones)|prefiero\ no\b|debo\ (?:negarme|declinar|rechazar)
@@ -114,17 +118,25 @@ def _copy(question: str, answer: str) -> bool:
     return new <= 5 and new <= 0.4 * len(own)
 
 
-def _complete_json(answer: str) -> bool:
+def _parsed(answer: str) -> object:
+    """The JSON value of an answer, fenced or not; None if it is none or breaks off."""
     body = answer.strip()
     if body.startswith("```"):
         body, fence, _ = body[3:].removeprefix("json").rpartition("```")
         if not fence:
-            return False
+            return None
     try:
-        json.loads(body, strict=False)
+        return json.loads(body, strict=False)
     except ValueError:
-        return False
-    return True
+        return None
+
+
+def _strings(value: object) -> list[str]:
+    """All texts inside a JSON value."""
+    if isinstance(value, str):
+        return [value]
+    inner = value.values() if isinstance(value, dict) else value if isinstance(value, list) else ()
+    return [text for part in inner for text in _strings(part)]
 
 
 def _label_prefix(plain: str) -> bool:
@@ -136,7 +148,7 @@ def _label_prefix(plain: str) -> bool:
 def _truncated(reasoned: bool, listed: bool, answer: str) -> bool:
     end = answer.strip()
     if re.match(r"```|[\[{]\s*[\"\[{]", end):
-        return not _complete_json(end)
+        return _parsed(end) is None
     if end.lower() in _LABEL_OF or end.rstrip(".!").lower() in _LABEL_OF:
         return False
     if (listed or len(end) >= 2) and len(end) <= 30 and _label_prefix(end.lower()):
@@ -168,6 +180,10 @@ def defects(question: str, answer: str | None) -> list[str]:
     text = _INVISIBLE.sub(" ", answer or "").strip()
     if _empty(text):
         return ["empty"]
+    if text[0] in "{[`" and (value := _parsed(text)) is not None:
+        text = _INVISIBLE.sub(" ", "\n".join(_strings(value))).strip()
+        if _empty(text):
+            return ["empty"]
     found = []
     if len(text) < 600 and _REFUSAL.match(text.replace("’", "'")) and text.count(" ") < _MOST_REFUSAL_WORDS:
         found.append("refusal")
