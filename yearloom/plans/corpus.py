@@ -27,7 +27,7 @@ def corpus_select(spark: SparkSession, d: str) -> DataFrame:
     return kept.select("doc_id", F.concat(F.lit("corpus:"), "source").alias("source"), "year", "word_count")
 
 
-@query(f"WITH {_CORPUS} SELECT source, count(*) AS n_docs, CAST(median(word_count) AS DOUBLE) AS median_words, round(sum(word_count) * 1.3, 3) AS est_tokens FROM corpus WHERE source LIKE 'bulk_corpus:%' AND word_count >= 200 GROUP BY source")
+@query(f"WITH {_CORPUS} SELECT source, count(*) AS n_docs, CAST(median(word_count) AS DOUBLE) AS median_words, CAST(round(sum(word_count) * 1.3, 3) AS DOUBLE) AS est_tokens FROM corpus WHERE source LIKE 'bulk_corpus:%' AND word_count >= 200 GROUP BY source")
 def corpus_legal_slice_stats(spark: SparkSession, d: str) -> DataFrame:
     kept = corpus(spark, d).where(F.col("source").startswith("bulk_corpus:") & (F.col("word_count") >= 200))
     return kept.groupBy("source").agg(F.count("*").alias("n_docs"), F.median("word_count").alias("median_words"), F.round(F.sum("word_count") * F.lit(1.3), 3).alias("est_tokens"))
