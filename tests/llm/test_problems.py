@@ -252,6 +252,28 @@ def test_packing_places_every_token_once(spark):
     assert packing.packed(items, specs.limit(0), "k", F.col("n")).count() == 0
 
 
+def test_packing_takes_most_pieces_from_the_linear_program():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    lengths = np.minimum(np.exp(rng.normal(5.3, 0.9, 20000)).astype(int) + 1, 512)
+    sizes, wanted = np.unique(lengths, return_counts=True)
+    covered, *_ = packing.relaxed(sizes, wanted.astype(float), 512, 0.016)
+    assert len(covered) == len(sizes) and covered.min() >= packing.COVERED
+    taken, left = packing.configured(sizes, wanted, 512)
+    assert left.min() >= 0 and sum(n * c.astype(int) @ sizes for n, c in taken) + left @ sizes == wanted @ sizes
+    assert max(int(c.astype(int) @ sizes) for _, c in taken) <= 512 and left.sum() < 0.1 * wanted.sum()
+    assert sum(n for n, _ in packing.solve(sizes, wanted, 512)) < 1.03 * (wanted @ sizes) / 512
+
+
+@pytest.mark.parametrize("sizes, wanted, least", [([300], [10], 10), ([200, 300], [3, 100], 100), ([512], [4], 4), ([1], [5], 1), ([1, 511], [7, 7], 7)])
+def test_packing_of_few_lengths(sizes, wanted, least):
+    import numpy as np
+
+    out = packing.solve(np.array(sizes), np.array(wanted), 512)
+    assert sum(n * c.astype(int) for n, c in out).tolist() == wanted and sum(n for n, _ in out) <= least + 2
+
+
 # 6
 
 

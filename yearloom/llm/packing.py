@@ -2,9 +2,11 @@
 
 Lengths are counted in tokens; only the length histogram is optimised, so the size of the optimisation is bounded by
 the capacity whatever the number of items. The configuration linear program (fewest containers whose contents cover the
-histogram) is solved by multiplicative weights: each length has a weight that falls as it gets covered, a knapsack by
-dynamic programming finds the container of greatest weight, and the mean of these containers, scaled up, covers all.
-Its whole part is taken; what the fractions leave, at most a few containers for each configuration, is filled first-fit
+histogram) is solved by multiplicative weights: each length has a weight, the knapsack recursion gives the mean contents
+of all containers, each in proportion to the product of its weights, and a length that this mean covers beyond its need
+loses weight while one that it leaves short gains. The containers are LP value * (1 + gap) in number, for the least stated
+gap at which all lengths are covered. The solution is rounded by drawing whole containers from it (with a fixed seed) and
+taking those that the need still holds; the program is solved again for what they leave, and the last few are filled first-fit
 from the longest. Every item then finds its place by its rank inside its length.
 
 Defined cases: null and empty texts have length 0 and go to container 0 at offset 0; a text longer than the capacity
@@ -22,61 +24,118 @@ from pyspark.sql import functions as F
 from yearloom.operators.ranking import spread_rank
 from yearloom.session import cut_lineage
 
-#: Rounds of multiplicative weights, and the step of the weights.
-ROUNDS, STEP = 300, 0.35
+#: Gaps over the least number of containers (all tokens by the capacity) that are tried, and rounds of the weights for each.
+GAPS, ROUNDS = tuple(0.001 * 2**k for k in range(12)), 60
+#: Share of the need of every length that a solution covers, times that the program is solved, and containers drawn a length.
+COVERED, PASSES, DRAWS = 0.99, 6, 2
 #: Specs of one call; every item is looked at for each.
 MOST_SPECS = 100
 SLOTS = "spec_name string, config long, copies long, base long, size long, per long, skip long, start long"
 
 
-def _knapsack(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarray:
-    """Counts of the lengths that give the greatest price within the capacity."""
-    best = np.zeros(capacity + 1)
-    choice = np.full(capacity + 1, -1)
+def _filled(sizes: np.ndarray, weight: np.ndarray, capacity: int) -> np.ndarray:
+    """Total weight of all fillings of each room, by the knapsack recursion with a sum in the place of the maximum."""
+    held = np.zeros(capacity + 1)
+    held[0] = 1.0
     for room in range(int(sizes[0]), capacity + 1):
         fit = np.searchsorted(sizes, room, side="right")
-        value = best[room - sizes[:fit]] + prices[:fit]
-        at = int(value.argmax())
-        if value[at] > best[room - 1]:
-            best[room], choice[room] = value[at], at
-        else:
-            best[room] = best[room - 1]
-    counts = np.zeros(len(sizes), np.int64)
-    room = capacity
-    while room > 0:
-        if choice[room] < 0:
-            room -= 1
-        else:
-            counts[choice[room]] += 1
-            room -= int(sizes[choice[room]])
+        held[room] = weight[:fit] @ held[room - sizes[:fit]]
+    return held
+
+
+def _normal(sizes: np.ndarray, log_weight: np.ndarray) -> np.ndarray:
+    """Weights times a power for each token so that they sum to 1; the fillings of a full container keep their proportions."""
+    low, high = -np.max(log_weight / sizes) - 40.0, -np.max(log_weight / sizes)
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if np.exp(log_weight + middle * sizes).sum() < 1 else (low, middle)
+    return np.exp(log_weight + low * sizes)
+
+
+def _ends(held: np.ndarray, mean: float) -> np.ndarray:
+    """Chances of the used room of a container, a power of the unused room, with the wanted mean if it can be had."""
+    room = np.flatnonzero(held)
+    low, high = -1.0, 50.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        log = np.log(held[room]) + middle * room
+        chance = np.exp(log - log.max())
+        low, high = (middle, high) if chance @ room < mean * chance.sum() else (low, middle)
+    out = np.zeros(len(held))
+    out[room] = chance / chance.sum()
+    return out
+
+
+def relaxed(sizes: np.ndarray, need: np.ndarray, capacity: int, gap: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A solution of the linear program with (all tokens / capacity) * (1 + gap) containers.
+
+    The share of each need that it covers, the weights, the weight of the fillings of each room, the chances of the used room.
+    """
+    containers = float(sizes @ need) / capacity * (1 + gap)
+    log_weight, best = np.log(need / need.sum()), None
+    for _ in range(ROUNDS):
+        weight = _normal(sizes, log_weight)
+        held = _filled(sizes, weight, capacity)
+        end = _ends(held, capacity / (1 + gap))
+        part = np.divide(end, held, out=np.zeros(capacity + 1), where=held > 0)
+        # Weight of the containers with a given length in any place: what is before it, what is after it, what stays unused.
+        both = np.convolve(held, held)[: capacity + 1]
+        around = np.convolve(part[::-1], both)[: capacity + 1][::-1]
+        covered = containers * weight * around[sizes] / need
+        if best is None or covered.min() > best[0].min():
+            best = covered, weight, held, end
+        if covered.min() >= COVERED:
+            break
+        log_weight = log_weight - np.log(np.maximum(covered, 1e-9))
+    return best
+
+
+def _drawn(sizes: np.ndarray, weight: np.ndarray, held: np.ndarray, end: np.ndarray, n: int, chance: np.random.Generator) -> np.ndarray:
+    """Counts of the lengths in n containers of a solution."""
+    counts = np.zeros((n, len(sizes)), np.int16)
+    room = np.searchsorted(np.cumsum(end)[:-1], chance.random(n), side="right")
+    for r in range(len(held) - 1, 0, -1):
+        at = np.flatnonzero(room == r)
+        if len(at):
+            fit = np.searchsorted(sizes, r, side="right")
+            share = np.cumsum(weight[:fit] * held[r - sizes[:fit]])
+            pick = np.searchsorted(share[:-1], chance.random(len(at)) * share[-1], side="right")
+            counts[at, pick] += 1
+            room[at] = r - sizes[pick]
     return counts
 
 
-def solve(sizes: np.ndarray, wanted: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[int, np.ndarray]]:
+def configured(sizes: np.ndarray, wanted: np.ndarray, capacity: int) -> tuple[list[tuple[int, np.ndarray]], np.ndarray]:
+    """(copies, counts of each length) of the configurations taken from the linear program, and what they leave."""
+    chance = np.random.default_rng(0)
+    left, out, step = wanted.copy(), [], 0
+    for _ in range(PASSES):
+        on = np.flatnonzero(left)
+        if not len(on):
+            break
+        own, need = sizes[on], left[on]
+        while True:
+            covered, weight, held, end = relaxed(own, need.astype(float), capacity, GAPS[step])
+            if covered.min() >= COVERED or step == len(GAPS) - 1:
+                break
+            step += 1
+        containers = int(np.ceil(own @ need / capacity * (1 + GAPS[step])))
+        n = min(containers, DRAWS * len(own))
+        for i, counts in enumerate(_drawn(own, weight, held, end, n, chance)):
+            inside = counts > 0
+            if inside.any():
+                copies = int(min((i + 1) * containers // n - i * containers // n, (left[on[inside]] // counts[inside]).min()))
+                if copies > 0:
+                    whole = np.zeros(len(sizes), np.int16)
+                    whole[on] = counts
+                    out.append((copies, whole))
+                    left[on] -= copies * counts.astype(np.int64)
+    return out, left
+
+
+def solve(sizes: np.ndarray, wanted: np.ndarray, capacity: int) -> list[tuple[int, np.ndarray]]:
     """(copies, counts of each length) of configurations that cover the histogram; sizes ascend, none above capacity."""
-    need = wanted.astype(float)
-    log_weight = np.zeros(len(sizes))
-    total, times = np.zeros(len(sizes)), {}
-    for _ in range(rounds):
-        weight = np.exp(log_weight - log_weight.max()) / need
-        counts = np.minimum(_knapsack(sizes, weight, capacity), wanted)
-        key = counts.tobytes()
-        times[key] = times.get(key, 0) + 1
-        ratio = counts / need
-        total += counts
-        log_weight -= STEP * ratio / max(ratio.max(), 1e-300)
-    # Scaled so that hardly any length is covered beyond its need; what stays uncovered is left to the rest.
-    scale = np.quantile(need / np.maximum(total, 1e-9), 0.02)
-    left, out = wanted.copy(), []
-    for key, n in sorted(times.items(), key=lambda x: (-x[1], x[0])):
-        counts = np.frombuffer(key, np.int64)
-        held = counts > 0
-        if not held.any():
-            continue
-        copies = int(min(np.floor(n * scale), (left[held] // counts[held]).min()))
-        if copies > 0:
-            out.append((copies, counts))
-            left = left - copies * counts
+    out, left = configured(sizes, wanted, capacity) if len(sizes) else ([], wanted.copy())
     # What is left: containers filled from the longest length down, each as often as it can be repeated.
     while left.sum() > 0:
         counts, room = np.zeros(len(sizes), np.int64), capacity
@@ -98,6 +157,7 @@ def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
     rows, base, used = [], int(pdf["first"].iloc[0]), np.zeros(len(sizes), np.int64)
     for config, (copies, counts) in enumerate(solve(sizes, wanted, capacity)):
         start, skip = 0, 0
+        counts = counts.astype(np.int64)
         for i in np.flatnonzero(counts)[::-1]:
             rows.append((pdf["spec_name"].iloc[0], config, copies, base, sizes[i], counts[i], skip, start, used[i]))
             start += int(sizes[i] * counts[i])
