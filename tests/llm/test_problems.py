@@ -63,6 +63,49 @@ def test_residue_label_spreads_to_near_copies_only(spark):
     assert {r.id for r in residue.residue(df, "id", "text").collect()} == {1, 2}
 
 
+def _example(parsed, pick):
+    """A text that a parsed pattern matches, by the pick-th branch wherever there are some."""
+    out = ""
+    for op, value in parsed:
+        match str(op):
+            case "LITERAL":
+                out += chr(value)
+            case "NOT_LITERAL":
+                out += "q"
+            case "ANY":
+                out += " "
+            case "IN":
+                kind, what = value[0]
+                out += {"LITERAL": lambda: chr(what), "RANGE": lambda: chr(what[0]), "NEGATE": lambda: "q", "CATEGORY": lambda: {"CATEGORY_DIGIT": "7", "CATEGORY_SPACE": " ", "CATEGORY_NOT_WORD": " "}.get(str(what), "q")}[str(kind)]()
+            case "BRANCH":
+                out += _example(value[1][pick % len(value[1])], pick)
+            case "SUBPATTERN":
+                out += _example(value[3], pick)
+            case "MAX_REPEAT":
+                out += _example(value[2], pick) * (value[0] or str(value[2][0][0]) == "ANY")
+    return out
+
+
+@pytest.mark.parametrize("rule", ["PLACEHOLDER", "FILLER", "ERROR", "NOTICE"])
+def test_every_residue_rule_survives_the_prefilter(rule):
+    import pyarrow as pa
+
+    made = []
+    for one in residue.alternatives(getattr(residue, rule)):
+        own = [x for x in (_example(re._parser.parse(one), k) for k in range(30)) if re.search(one, x)]
+        assert own, one
+        made += own
+    texts = [f"Before it.\n\n{x.replace(' ', chr(10))}" for x in made]
+    kept = {i for b in residue._marked([pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "text": texts})]) for i in b["id"].to_pylist()}
+    assert [made[i] for i in range(len(made)) if i not in kept] == []
+
+
+def test_residue_without_a_listed_cue(spark):
+    texts = ["Aliquip duis amet commodo magna tempor cillum nulla duis aute.", "Please turn on js.", "test, test, test", "Please turn\non js.", "The court sat at noon."]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    assert {r.id: r.label for r in residue.residue(df, "id", "text").collect()} == {0: "filler", 1: "notice", 2: "filler", 3: "notice"}
+
+
 def test_residue_of_nothing(spark):
     assert residue.residue(spark.createDataFrame([], "id long, text string"), "id", "text").count() == 0
 

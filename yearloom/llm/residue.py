@@ -8,8 +8,8 @@ until its whole connected component has it. Placeholders label only the sentence
 with its slot filled is sound prose.
 
 Vertices are distinct sentences with figures masked and markup taken off, so a message that a million pages share is one
-vertex. Every trusted rule needs a cue word, and a sentence nine tenths like a trusted one keeps some of its words, so
-sentences without any cue take no part.
+vertex. The cues are the listed fragments and the lead of every trusted rule, so no rule can fire without one, and a sentence
+nine tenths like a trusted one keeps some of its words, so sentences without any cue take no part.
 
 Defined cases: null and blank texts are no cases; a record delivered again counts once; very long texts are read whole.
 """
@@ -63,7 +63,7 @@ NOTICE = "|".join([
     r"(?:enable|activate|allow|turn on) (?:javascript|js|scripts|scripting|cookies)\b(?! in court)", r"javascript (?:is )?(?:disabled|required|turned off)", r"(?:without|activer|activar|aktivieren sie|habilitar|active) javascript", r"javascript aktivieren", r"(?:does|do) not support scripts", r"site needs scripts to run", r"scripts? (?:are |is )?required\b", r"scripts and cookies must be",
     r"scripting must be on", r"active scripting is switched off", r"your browser (?:has )?blocked (?:them|scripts|javascript)", r"you need to allow scripts", r"one more step: complete the check", r"prove you are (?:human|not a robot)", r"checking your browser before", r"disable any ad blocker", r"reader for volume \d+ cannot start", r"turn it on and reload to continue", r"<noscript>", r"necesita(?:s)? (?:activar|habilitar) ",
 ])
-# Fragments of which a lower-cased sentence must hold one to be looked at; every rule but the slots' needs one.
+# Fragments that make a lower-cased sentence worth a look besides the leads of the rules.
 CUES = (
     "lorem", "ipsum", "consectetur", "adipiscing", "eiusmod", "incididunt", "placeholder", "dummy", "sample", "filler", "blah", "asdf", "qwer", "xxx", " test ", "test test", "javascript", "script", "browser", "cookies",
     "enable", "reload", "refresh", "captcha", "robot", "not found", "forbidden", "gateway", "time-out", "timeout", "time out", "unavailable", "unauthorized", "introuvable", "verfügbar", "página", "traceback", "exception", "denied",
@@ -87,16 +87,35 @@ def labelled(segment: Column) -> Column:
     )
 
 
+def alternatives(rule: str) -> list[str]:
+    """The branches of a pattern that are not inside brackets."""
+    out, depth, at = [""], 0, 0
+    for token in re.findall(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|.", rule):
+        depth += (token == "(") - (token == ")")
+        if token == "|" and depth == 0:
+            out.append("")
+        else:
+            out[-1] += token
+    return out
+
+
+def _lead(alternative: str) -> str:
+    """What a match of the alternative begins with, in RE2: up to the first free stretch, without looking ahead."""
+    return re.sub(r"\(\?![^()]*\)", "", re.split(r"\.[{*]|\(\?:\\W", alternative)[0])
+
+
 #: RE2 patterns of one pass each, however many branches: a slot's mark or a cue.
-_CUE = "(?i:" + "|".join(map(re.escape, CUES)) + ")"
+_CUE = "(?i:" + "|".join([*map(re.escape, CUES), *(_lead(one) for rule in (FILLER, ERROR, NOTICE) for one in alternatives(rule))]) + ")"
 _MARKS = _CUE + r"|[{\[<«]|@@|%s|%\(|__|TK |(?i:todo)|FIXME|\$[A-Z]"
+_BLANK = r"[\s\v\x1c-\x1f\x{85}\pZ]+"
 _ENDS = re.compile(r"\n\s*\n|(?<=[.!?…])\s+(?=\S)")
 
 
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sentences and paragraphs that hold a mark or a cue, white space collapsed."""
     for batch in batches:
-        held = batch.filter(pc.match_substring_regex(batch["text"], _MARKS))
+        # White space is collapsed first, as a cue may be wrapped.
+        held = batch.filter(pc.match_substring_regex(pc.replace_substring_regex(batch["text"], _BLANK, " "), _MARKS))
         ids, parts = [], []
         for one, text in zip(held["id"].to_pylist(), held["text"].to_pylist()):
             for part in _ENDS.split(text):
