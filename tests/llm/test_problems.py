@@ -160,6 +160,25 @@ def test_large_buckets_lose_no_pair(spark, monkeypatch):
     assert {tuple(r) for r in neardup.candidates(df).collect()} == whole and len(whole) == 40 * 39 // 2
 
 
+def test_pairs_near_the_threshold_are_found(spark):
+    rng = random.Random(11)
+    rows, want = [], set()
+    for i in range(400):
+        one = [f"v{rng.randrange(10**6)}" for _ in range(rng.randrange(110, 300))]
+        edits = rng.uniform(0.08, 0.14)
+        two = [f"v{rng.randrange(10**6)}" if rng.random() < edits else w for w in one]
+        if i % 8 == 0:
+            parts = [one[j : j + 11] for j in range(0, len(one), 11)]
+            rng.shuffle(parts)
+            two = [w for part in parts for w in part]
+        x, y = ({tuple(w[j : j + 3]) for j in range(len(w) - 2)} for w in (one, two))
+        if 0.5 <= len(x & y) / len(x | y) <= 0.75:
+            want.add((2 * i, 2 * i + 1))
+        rows += [(2 * i, " ".join(one)), (2 * i + 1, " ".join(two))]
+    got = {tuple(r) for r in neardup.near_duplicate_pairs(spark.createDataFrame(rows, "id long, text string"), "id", "text").collect()}
+    assert len(want) > 200 and len(want - got) <= 0.01 * len(want)
+
+
 def test_banded_alignment():
     import numpy as np
 

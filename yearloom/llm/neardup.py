@@ -1,10 +1,10 @@
-"""Near-duplicate records with small edits (problem 2): Order MinHash, banded alignment, exact check.
+"""Near-duplicate records with small edits (problem 2): Order MinHash, signatures, exact check.
 
 Every text of at least LEAST_WORDS words becomes ROUNDS * BINS keys. A round deals the occurrence-labelled k-mers of a
 text into bins by hash; a key is made of the SAMPLED k-mers of least hash in a bin, taken in the order they have in the
-text, so it survives edits elsewhere but not reordering inside. Texts that share a key, and whose 64-bit signatures of
-all three-word sequences do not rule them out, are candidates. A candidate pair is aligned in narrow bands around its main diagonals (a moved sentence has a diagonal of its own), and what aligns is
-settled by the exact share of common distinct three-word sequences.
+text, so it survives edits elsewhere but not reordering inside. Texts that share a key, and whose 128-bit signatures of
+all three-word sequences do not rule them out, are candidates. A candidate pair is settled by the exact share of common
+distinct three-word sequences alone, so texts with moved parts are kept however they align.
 
 Equal texts are one node throughout; they are told apart again only in the result. Buckets of any size are compared
 whole: large ones are dealt into blocks, and block against block is a task of its own.
@@ -29,17 +29,14 @@ LEAST_WORDS = 100
 SIMILARITY = 0.5
 SHINGLE = 3
 #: Words of a k-mer, k-mers in a key, bins of a round, rounds.
-KMER, SAMPLED, BINS, ROUNDS = 6, 2, 16, 2
-#: Bits of the 64-bit signatures (one-bit minima of 64 bins of the three-word sequences) that must agree before a pair
-#: is a candidate. The pairs of the test data agree in 52 on average, 999 of 1000 in at least 46; unrelated
-#: texts agree in 33.
-AGREEING = 45
-#: A pair that agrees in fewer bits than this must share two keys.
-AT_ONCE = 50
+KMER, SAMPLED, BINS, ROUNDS = 5, 2, 16, 2
+#: Bits of the 128-bit signatures (one-bit minima of 128 bins of the three-word sequences) that must agree before a pair
+#: is a candidate. At similarity s a bit agrees with chance (1 + s) / 2, so at SIMILARITY one pair of 1000 has fewer.
+AGREEING = 81
 #: Rows of a bucket that are compared in one go; larger buckets are dealt into blocks of this size.
 BLOCK = 128
-#: Half the width of an alignment band, most bands of a pair, and the least aligned share of the shorter text.
-BAND, MOST_BANDS, ALIGNED = 8, 8, 0.3
+#: Half the width of an alignment band.
+BAND = 8
 #: Characters of the texts that are verified together.
 CHUNK = 2_000_000
 
@@ -99,17 +96,18 @@ def sketch(texts: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(docs), np.concatenate(keys)
 
 
-def signature(words: list[int]) -> int:
-    """One bit for each of 64 bins: the last bit of the least hash of the distinct three-word sequences in the bin."""
+def signature(words: list[int]) -> tuple[int, int]:
+    """One bit for each of 128 bins, 64 to a number: the last bit of the least hash of the distinct three-word sequences in the bin."""
     run = np.array(words, np.uint64)
     gram = np.zeros(len(run) - SHINGLE + 1, np.uint64)
     for j in range(SHINGLE):
         gram = _mix(gram * _ODD + run[j : len(gram) + j])
     value = np.sort(_mix(gram))
-    cell = value >> np.uint64(58)
+    cell = value >> np.uint64(57)
     first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-    bits = (_mix(value[first]) & np.uint64(1)) << cell[first]
-    return int(np.bitwise_or.reduce(bits).astype(np.int64))
+    bits = (_mix(value[first]) & np.uint64(1)) << (cell[first] & np.uint64(63))
+    upper = cell[first] >= np.uint64(64)
+    return tuple(int(np.bitwise_or.reduce(half, initial=np.uint64(0)).astype(np.int64)) for half in (bits[~upper], bits[upper]))
 
 
 def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -127,7 +125,7 @@ def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         signs.append(signature(texts[-1]))
             if texts:
                 doc, key = sketch(texts)
-                yield pd.DataFrame({"key": key, "fp": np.array(fps, np.int64)[doc], "sign": np.array(signs, np.int64)[doc]})
+                yield pd.DataFrame({"key": key, "fp": np.array(fps, np.int64)[doc], "sign": np.array(signs, np.int64)[doc, 0], "more": np.array(signs, np.int64)[doc, 1]})
 
 
 def fingerprinted(records: DataFrame, record_id: str, text: str) -> DataFrame:
@@ -138,42 +136,27 @@ def fingerprinted(records: DataFrame, record_id: str, text: str) -> DataFrame:
 
 def _plausible(joined: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b, whose signatures agree in enough bits."""
-    apart = F.bit_count(F.col("sign_a").bitwiseXOR(F.col("sign_b")))
-    near = joined.withColumn("apart", apart).where(F.col("apart") <= 64 - AGREEING)
-    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "apart")
+    apart = F.bit_count(F.col("sign_a").bitwiseXOR(F.col("sign_b"))) + F.bit_count(F.col("more_a").bitwiseXOR(F.col("more_b")))
+    near = joined.where(apart <= 128 - AGREEING)
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def candidates(texts: DataFrame) -> DataFrame:
     """Distinct pairs (a, b), a < b, of fingerprints that share a key and have signatures close enough."""
-    keyed = texts.select("fp", "text").mapInPandas(_sketches, "key long, fp long, sign long").repartition("key").distinct()
+    keyed = texts.select("fp", "text").mapInPandas(_sketches, "key long, fp long, sign long, more long").repartition("key").distinct()
     sized = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
     small = sized.where(F.col("n") <= BLOCK)
-    one = small.select("key", F.col("fp").alias("a"), F.col("sign").alias("sign_a"))
-    two = small.select("key", F.col("fp").alias("b"), F.col("sign").alias("sign_b"))
+    one = small.select("key", F.col("fp").alias("a"), F.col("sign").alias("sign_a"), F.col("more").alias("more_a"))
+    two = small.select("key", F.col("fp").alias("b"), F.col("sign").alias("sign_b"), F.col("more").alias("more_b"))
     pairs = _plausible(one.join(two, "key").where("a < b"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
     dealt = sized.where(F.col("n") > BLOCK).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("key", "fp", "sign", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    left = dealt.where("own = lo").select("key", "lo", "hi", F.col("fp").alias("a"), F.col("sign").alias("sign_a"))
-    right = dealt.where("own = hi").select("key", "lo", "hi", F.col("fp").alias("b"), F.col("sign").alias("sign_b"))
+    dealt = dealt.select("key", "fp", "sign", "more", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    left = dealt.where("own = lo").select("key", "lo", "hi", F.col("fp").alias("a"), F.col("sign").alias("sign_a"), F.col("more").alias("more_a"))
+    right = dealt.where("own = hi").select("key", "lo", "hi", F.col("fp").alias("b"), F.col("sign").alias("sign_b"), F.col("more").alias("more_b"))
     crossed = _plausible(left.join(right, ["key", "lo", "hi"]).where("a < b OR (lo < hi AND a > b)"))
-    met = pairs.unionByName(crossed).groupBy("a", "b").agg(F.count("*").alias("n"), F.min("apart").alias("apart"))
-    return met.where((F.col("n") > 1) | (F.col("apart") <= 64 - AT_ONCE)).select("a", "b")
-
-
-def _bands(a: list[int], b: dict[int, int]) -> list[int]:
-    """Main diagonals (position in b less position in a) of runs of four equal words, at most MOST_BANDS."""
-    votes: dict[int, int] = {}
-    for i, run in enumerate(a):
-        j = b.get(run)
-        if j is not None:
-            votes[(j - i) // BAND] = votes.get((j - i) // BAND, 0) + 1
-    chosen: list[int] = []
-    for cell in sorted(votes, key=lambda c: (-votes[c], c)):
-        if len(chosen) < MOST_BANDS and votes[cell] > 1 and all(abs(cell - c) > 1 for c in chosen):
-            chosen.append(cell)
-    return [c * BAND + BAND // 2 for c in chosen]
+    return pairs.unionByName(crossed).distinct()
 
 
 def banded(pairs: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
@@ -196,19 +179,15 @@ def banded(pairs: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
 
 
 class _Read:
-    """What verification needs of a text, made once for all its pairs: word numbers, runs of four, sequences of three."""
+    """What verification needs of a text, made once for all its pairs: word numbers and sequences of three."""
 
     def __init__(self, text: str, number: dict[str, int]) -> None:
         self.words = np.array([number.setdefault(w, len(number)) for w in WORD.findall(text.lower())], np.int32)
-        self.runs: list[int] = []
 
     def index(self, base: int) -> None:
-        """Word numbers lie below base, so positional codes are exact as long as they fit; runs of four may wrap around."""
+        """Word numbers lie below base, so the codes are exact as long as they fit."""
         w, n = self.words.astype(np.int64), len(self.words)
-        three = (w[: n - 2] * base + w[1 : n - 1]) * base + w[2:]
-        self.runs = (three[:-1] * base + w[3:]).tolist()
-        self.where = {run: at for at, run in enumerate(self.runs)}
-        self.sequences = set(three.tolist())
+        self.sequences = np.unique((w[: n - 2] * base + w[1 : n - 1]) * base + w[2:])
 
 
 def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -220,17 +199,12 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             read = {t: _Read(t, number) for t in {*part["text_a"], *part["text_b"]}}
             for one in read.values():
                 one.index(len(number) + 1)
-            rows = [(a, b, read[x], read[y]) for a, b, x, y in zip(part["a"], part["b"], part["text_a"], part["text_b"])]
-            jobs, owner = [], []
-            for row, (_, _, x, y) in enumerate(rows):
-                for diagonal in _bands(x.runs, y.where):
-                    jobs.append((x.words, y.words, diagonal))
-                    owner.append(row)
-            aligned = np.bincount(np.array(owner, int), banded(jobs), minlength=len(rows)) if jobs else np.zeros(len(rows))
-            for (a, b, x, y), common in zip(rows, aligned):
-                if common >= ALIGNED * min(len(x.words), len(y.words)):
-                    both = len(x.sequences & y.sequences)
-                    either = len(x.sequences) + len(y.sequences) - both
+            for a, b, x, y in zip(part["a"], part["b"], part["text_a"], part["text_b"]):
+                one, two = read[x].sequences, read[y].sequences
+                if min(len(one), len(two)) >= SIMILARITY * max(len(one), len(two)):
+                    merged = np.sort(np.concatenate([one, two]), kind="stable")
+                    both = int((merged[1:] == merged[:-1]).sum())
+                    either = len(merged) - both
                     if both >= SIMILARITY * either:
                         out.append((a, b, both / either))
         yield pd.DataFrame(out, columns=["a", "b", "similarity"])
