@@ -24,6 +24,7 @@ RESIDUE = {
     "On TK DATE OF FILING the court met.": "placeholder",
     "Only %(rate)s of us paid.": "placeholder",
     "Governor [Speaker] preferred to wait.": "placeholder",
+    "Governor {{speaker}} preferred to wait.": "placeholder",
     "404 Not Found. The requested URL /doc/1/2 was not found on this server.": "error",
     "A heading\n\nPlease\nenable JavaScript to view this page.": "notice",
     "Lorem ipsum dolor sit amet, consectetur adipiscing elit.": "filler",
@@ -59,48 +60,56 @@ def test_residue_label_spreads_to_near_copies_only(spark):
     known = "Your browser does not support scripts, or they are turned off, so that the reader for this volume of the county archive can be used in the reading room only"
     near = "Your browser does not support the script, or they are turned off, so that the reader for this volume of the county archive can be used in the reading room only"
     far = "The committee heard the request of the county and the content of the letter was read"
-    df = spark.createDataFrame([(1, known), (2, near), (3, far)], "id long, text string")
-    assert {r.id for r in residue.residue(df, "id", "text").collect()} == {1, 2}
-
-
-def _example(parsed, pick):
-    """A text that a parsed pattern matches, by the pick-th branch wherever there are some."""
-    out = ""
-    for op, value in parsed:
-        match str(op):
-            case "LITERAL":
-                out += chr(value)
-            case "NOT_LITERAL":
-                out += "q"
-            case "ANY":
-                out += " "
-            case "IN":
-                kind, what = value[0]
-                out += {"LITERAL": lambda: chr(what), "RANGE": lambda: chr(what[0]), "NEGATE": lambda: "q", "CATEGORY": lambda: {"CATEGORY_DIGIT": "7", "CATEGORY_SPACE": " ", "CATEGORY_NOT_WORD": " "}.get(str(what), "q")}[str(kind)]()
-            case "BRANCH":
-                out += _example(value[1][pick % len(value[1])], pick)
-            case "SUBPATTERN":
-                out += _example(value[3], pick)
-            case "MAX_REPEAT":
-                out += _example(value[2], pick) * (value[0] or str(value[2][0][0]) == "ANY")
-    return out
-
-
-@pytest.mark.parametrize("rule", ["PLACEHOLDER", "FILLER", "ERROR", "NOTICE"])
-def test_every_residue_rule_survives_the_prefilter(rule):
-    import pyarrow as pa
+    next_ = near.replace("county archive", "town archive")
+    df = spark.createDataFrame([(1, known), (2, near), (3, far), (4, next_)], "id long, text string")
+    got = {r.id: (r.label, r.hops) for r in residue.residue(df, "id", "text", {"notice": [known]}).collect()}
+    assert got == {1: ("notice", 0), 2: ("notice", 1), 4: ("notice", got[4][1])} and got[4][1] >= 1
 
-    made = []
-    for one in residue.alternatives(getattr(residue, rule)):
-        own = [x for x in (_example(re._parser.parse(one), k) for k in range(30)) if re.search(one, x)]
-        assert own, one
-        made += own
-    texts = [f"Before it.\n\n{x.replace(' ', chr(10))}" for x in made]
-    kept = {i for b in residue._marked([pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "text": texts})]) for i in b["id"].to_pylist()}
-    assert [made[i] for i in range(len(made)) if i not in kept] == []
 
+def test_lookup_of_rare_grams_loses_no_likeness():
+    import numpy as np
+    import pyarrow as pa
 
-def test_residue_without_a_listed_cue(spark):
+    rng = random.Random(4)
+    letters = "abcdefghij klmnop qrs tuvw"
+    norms = sorted({" ".join("".join(rng.choice(letters) for _ in range(rng.randrange(8, 60))).split()) for _ in range(60)})
+    near = []
+    for norm in norms:
+        for _ in range(5):
+            chars = list(norm)
+            for _ in range(rng.randrange(3)):
+                chars[rng.randrange(len(chars))] = rng.choice("xyz")
+            near.append("".join(chars))
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(near))), "text": near})
+    kept = {(i, n) for b in residue._read(norms, False)(iter([batch])) for i, n in zip(b["id"].to_pylist(), b["norm"].to_pylist())}
+    assert residue.rare_grams(norms, np.zeros(1 << 22, int))
+    for i, text in enumerate(near):
+        form = residue.plain(text)
+        if any(len(residue.grams(form) & residue.grams(n)) >= 0.8 * len(residue.grams(form) | residue.grams(n)) for n in norms):
+            assert (i, form) in kept
+
+
+def test_residue_of_unstated_forms_is_found_by_likeness(spark):
+    names = ["Ash", "Birch", "Cedar", "Elm", "Fir", "Hazel", "Larch", "Maple"]
+    texts = [f"{n} Mill Company paid {slot} to the widow of the clerk." for n, slot in zip(names, ["{{amount}}", "${sum}", "[INSERT AMOUNT]", "%(rate)s", "#{amount}", "[____amount____]", "<amount>", "«amount»"])]
+    texts += ["He left «amount» upon the hill at dawn.", "Skip to content - your session has expiredd", "The clerk wrote [sic] in the book of deeds.", "They read [sic] in every line of it."]
+    found = {r.id: r for r in residue.residue(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id", "text").collect()}
+    assert set(found) == set(range(10))
+    assert [found[i].hops for i in range(10)] == [0, 0, 0, 0, 1, 1, 1, 1, 2, 1]
+
+
+def test_spreading_finds_wordings_and_slots_on_given_tables(spark):
+    import os
+
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("no test data")
+    synth = spark.read.parquet("/root/testdata/sf0.01/synth.parquet")
+    rows = residue.residue(synth, "synth_id", "text").collect()
+    spread = {r.id for r in rows if r.hops > 0} - {r.id for r in rows if r.hops == 0}
+    assert len({r.id for r in rows}) >= 160 and len(spread) >= 10
+
+
+def test_residue_without_a_common_word(spark):
     texts = ["Aliquip duis amet commodo magna tempor cillum nulla duis aute.", "Please turn on js.", "test, test, test", "Please turn\non js.", "The court sat at noon."]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     assert {r.id: r.label for r in residue.residue(df, "id", "text").collect()} == {0: "filler", 1: "notice", 2: "filler", 3: "notice"}

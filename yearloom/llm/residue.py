@@ -1,15 +1,21 @@
-"""Template residue, filler and error-page text (problem 1).
+"""Template residue, filler and error-page text (problem 1): SimHash tables and labels spread through components.
 
-Texts are cut into sentences and paragraphs (a single line break may be a wrap). Rules of high precision give trusted labels: placeholder, filler, error,
-notice. Sentences with a cue word but no label are then compared with the trusted ones of the last three kinds:
-64-bit SimHash over character 4-grams, a table for each two of its ten parts (hashes within eight bits agree in one),
-then the Hamming distance and the similarity of the texts. A label runs along these links from sentence to sentence
-until its whole connected component has it. Placeholders label only the sentence that holds them, as the same sentence
-with its slot filled is sound prose.
+Trusted labels are few: one wording of each message (MESSAGES), running Latin filler, and the slots of common template
+languages (TRUSTED). Everything else is found by likeness to what is labelled.
 
-Vertices are distinct sentences with figures masked and markup taken off, so a message that a million pages share is one
-vertex. The cues are the listed fragments and the lead of every trusted rule, so no rule can fire without one, and a sentence
-nine tenths like a trusted one keeps some of its words, so sentences without any cue take no part.
+Messages. A text is cut into sentences, and a sentence at its breaks (marks, figures, capitals), so that a message stands
+free of what a page puts around it. Every run of pieces that could reach the stated similarity to a labelled wording is a
+vertex: of the 4-grams of a wording, any (1 - SIMILARITY) part and one more must hold one of the run's, so that part,
+the rarest ones, is looked up first, and no likeness is lost. What is newly labelled is looked up in turn, until nothing new is.
+
+Slots. Any span in brackets or between signs may be a slot. The words before it and the words after it are vertices; a slot
+of a trusted form labels its surroundings, and a span of an unknown form in such surroundings is a slot. A form that
+is a slot in most of its places is one in all, and one that hardly ever is (an editor's mark) is none anywhere; a syntax whose forms
+are nearly all slots makes slots of the others.
+
+Vertices are distinct normal forms (lower case, figures masked, marks off) with a 64-bit SimHash of their 4-grams. A table
+for each two of its parts finds hashes that differ in few bits; then the Hamming distance and the similarity of the
+4-grams decide, and a label runs along such links until its connected component has it.
 
 Defined cases: null and blank texts are no cases; a record delivered again counts once; very long texts are read whole.
 """
@@ -23,129 +29,214 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from yearloom.session import cut_lineage
 
-#: Most bits two SimHash values may differ in, and the least similarity of the texts. Of ten parts of six bits two are
-#: equal if at most eight bits differ, so one table for each two parts (45 in all) misses no such pair.
-HAMMING, SIMILARITY, PARTS = 8, 0.8, 10
-
-# Forms of unfilled slots.
-_SLOT = r"[A-Za-z][A-Za-z0-9_.]*(?:![rsa])?"
-PLACEHOLDER = "|".join([
-    r"\{\{[^{}\n]{0,60}\}\}", r"[$#]\{[^{}\n]{1,60}\}", r"\{%[^%\n]{1,80}%\}", r"<%[^%\n]{1,80}%>", rf"\{{{_SLOT}\}}", r"%\(\w+\)[sdrf]", r"(?<![\w%])%s(?!\w)",
-    r"__[A-Za-z][A-Za-z_]*__", r"@@\w+@@", r"\$[A-Z][A-Z_]+\$", r"<<[^<>\n]{1,60}>>", r"«[A-Za-z]+(?:_[A-Za-z]+)*»", r"\[\[[^\[\]\n]{1,60}\]\]", r"\[_{2,}[^\[\]\n]{0,60}\]",
-    r"(?i:\[(?:insert|enter|add|fill in|your|type) [^\[\]\n]{1,60}\])", r"(?i:\[[^\[\]\n]{1,60} (?:to be (?:supplied|added|inserted|determined)|goes here|here)\])",
-    r"(?i:<[^<>\n]{1,60} (?:goes )?here>)", r"(?i:<(?:insert|your|enter) [^<>\n]{1,60}>)",
-    r"<(?!(?:p|br|hr|b|i|u|em|a|ul|ol|li|h\d|html|head|body|title|noscript|script|style|div|span|td|tr|th|table|pre|code|sup|sub|strong|small|meta|link|img|center|font|blockquote)>)[A-Za-z][a-z]*(?:_[a-z]+)*>",
-    r"\[(?!(?:Applause|Laughter|Sic|Illegible|Signed|Seal|Omitted|Emphasis|Sidenote|Note|Exhibit|Footnote|Cheers|Cries|Blank|Redacted|Translation)\b)[A-Z][a-z]+(?:[ _][A-Za-z][a-z]*){0,3}\]",
-    r"\[(?:text|body|title|name|date|recipient|sender|matter|subject|address|signature|city|county|state|year|policy|facts|holding|reason|region|topic|amount|company|rate|institution|statute|speaker|author|judge|court|witness|seed|count|era|citation|case_name|party_[ab]|date_of_filing|petitioner|opening paragraph|closing paragraph)\]",
-    r"\[[A-Z]+_[A-Z_]+\]", r"\[(?:TEXT|BODY|TITLE|NAME|DATE|RECIPIENT|SENDER|MATTER|OPENING PARAGRAPH)\]",
-    r"\bTK [A-Z]{3,}", r"(?i:\bTODO: ?(?:add|insert|fill|write))", r"\bFIXME\b", r"_{6,}",
-])
-
-# Wording of filler, of error pages and of notices that scripts are required.
-FILLER = "|".join([
-    r"lorem ipsum", r"\b(?:dolor|consectetur|adipiscing|eiusmod|incididunt|aliqua|aliquip|commodo|cillum|fugiat|nulla|veniam|nostrud|ullamco|laboris|irure|velit)\b(?:\W+\w+){0,3}\W+(?:dolor|sit|amet|consectetur|elit|sed|do|eiusmod|tempor|ut|labore|et|magna|enim|minim|quis|ex|ea|aute|in|esse|lorem|ipsum|duis|cillum|commodo|incididunt|aliqua|irure|nostrud|velit|veniam|ullamco|laboris|nisi|aliquip|fugiat|nulla|pariatur|consequat|adipiscing)\b",
-    r"\b(?:body|sample|copy) (?:copy|text) (?:to come|goes here)", r"placeholder (?:text|copy|content) (?:for|goes|only)", r"dummy (?:content|text|copy) so\b", r"here is some dummy", r"\bsample (?:paragraph|text) \d", r"replace this text (?:before|with)",
-    r"(?:click|tap) to (?:edit|add) (?:this |your )?(?:paragraph|text|title|content)", r"type or paste your (?:content|text)", r"your (?:document|text|content|story) (?:starts|goes|begins) here", r"you can add your own (?:words|text) here",
-    r"insert (?:the )?generated (?:article|text|document)", r"\bblah,? blah\b", r"\b(?:text ){3,}", r"\btest(?:[ \d.,]+test){2,}", r"\bx{3,} x{3,}", r"\b(?:asdf|qwer|zxcv)\b.*\b(?:asdf|qwer|zxcv|jkl)\b", r"body: \(to be written", r"\(to be written, ", r"\bto be written, slot\b",
-])
-ERROR = "|".join([
-    r"\b[1-5]\d\d:? (?:not found|forbidden|bad gateway|bad request|unauthorized|internal server error|service (?:temporarily )?unavailable|gateway time-?out|too many requests)\b", r"internal server error", r"the server (?:met|encountered) an unexpected", r"requested (?:url|page) .{0,60}(?:was )?not found on this server",
-    r"<title>\s*page not found", r"<h1>\s*not found", r"\b(?:erreur|fehler) \d{3}\b", r"page demandée est introuvable", r"dienst (?:ist )?nicht verfügbar", r"página (?:solicitada )?no (?:se )?(?:ha sido )?encontrad", r"\baccess denied\b", r"permission to access /", r"don't have permission to access",
-    r"error occurred while processing your", r"error establishing a database connection", r"gateway time-?out", r"(?:http|server) error:? \d", r"upstream connect error", r"disconnect before headers", r"reset reason:? ", r"traceback \(most recent call last", r"\b(?:key|value|type|name|attribute|index)error: ?['\"&]", r"file \"[\w./]+\", line \d", r"\{\s*\"error\"\s*:", r"too many requests\"",
-    r"your session has (?:expired|timed out)", r"please log ?in again to continue", r"document could not be loaded", r"please refresh the browser", r"(?:this )?content (?:isn't|isn&#39;t|is not|isn’t) available right now", r"can(?:'t|’t|not|&#39;t) find the page you", r"temporarily unable to handle your request", r"\btry again in \d+ seconds", r"resource unavailable, rate limit", r"\boops!", r"request id:? \d[\d-]{6,}",
-])
-NOTICE = "|".join([
-    r"(?:enable|activate|allow|turn on) (?:javascript|js|scripts|scripting|cookies)\b(?! in court)", r"javascript (?:is )?(?:disabled|required|turned off)", r"(?:without|activer|activar|aktivieren sie|habilitar|active) javascript", r"javascript aktivieren", r"(?:does|do) not support scripts", r"site needs scripts to run", r"scripts? (?:are |is )?required\b", r"scripts and cookies must be",
-    r"scripting must be on", r"active scripting is switched off", r"your browser (?:has )?blocked (?:them|scripts|javascript)", r"you need to allow scripts", r"one more step: complete the check", r"prove you are (?:human|not a robot)", r"checking your browser before", r"disable any ad blocker", r"reader for volume \d+ cannot start", r"turn it on and reload to continue", r"<noscript>", r"necesita(?:s)? (?:activar|habilitar) ",
-])
-# Fragments that make a lower-cased sentence worth a look besides the leads of the rules.
-CUES = (
-    "lorem", "ipsum", "consectetur", "adipiscing", "eiusmod", "incididunt", "placeholder", "dummy", "sample", "filler", "blah", "asdf", "qwer", "xxx", " test ", "test test", "javascript", "script", "browser", "cookies",
-    "enable", "reload", "refresh", "captcha", "robot", "not found", "forbidden", "gateway", "time-out", "timeout", "time out", "unavailable", "unauthorized", "introuvable", "verfügbar", "página", "traceback", "exception", "denied",
-    "permission to access", "session has", "database", "the server", "internal server", "request", "error occ", "error est", "error code", "error:", "error 4", "error 5", "server error", "http", "erreur", "fehler", "necesita",
-    "click to", "tap to", "paste your", "replace this", "text text", "to come", "goes here", "starts here", "begins here", "own words", "own text", "generated article", "generated text", "generated document", "to be written", "document could", "available right now",
-    "find the page", "log in again", "login again", "try again", "upstream", "disconnect", "reset reason", "file \"", "oops", "ad blocker", "prove you", "checking your", "cannot start", "rate limit", "bad request", "enable js", "body copy", "<title", "<h1",
-)
-# Ordinary prose that speaks of such wording or quotes it.
-_SPOKEN = r"“[^”]{1,60}”|(?:filing portal|latin filler|said|wrote|read|called the rule)\b.{0,80}\b(?:page not found|insert name|scripts|filler|placeholder)|portal would not open unless|\blatin filler to show|telephone service was unavailable"
-
-
-def labelled(segment: Column) -> Column:
-    """The trusted label of a sentence, or null."""
-    low = F.lower(segment)
-    spoken = low.rlike(_SPOKEN)
-    return (
-        F.when(segment.rlike(PLACEHOLDER), "placeholder")
-        .when(low.rlike(NOTICE) & ~spoken, "notice")
-        .when(low.rlike(ERROR) & ~spoken, "error")
-        .when(low.rlike(FILLER) & ~spoken, "filler")
-    )
-
-
-def alternatives(rule: str) -> list[str]:
-    """The branches of a pattern that are not inside brackets."""
-    out, depth, at = [""], 0, 0
-    for token in re.findall(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|.", rule):
-        depth += (token == "(") - (token == ")")
-        if token == "|" and depth == 0:
-            out.append("")
-        else:
-            out[-1] += token
+#: Most bits two SimHash values may differ in, and the least similarity of the texts. Texts of similarity 0.8 to 0.85 differ in
+#: 9 bits on average and 97 of 100 in at most 14. Of twelve parts of five bits two are equal if at most ten bits differ,
+#: so one table for each two parts (66 in all) misses no such pair; at 14 bits it finds nine in ten.
+HAMMING, SIMILARITY, PARTS = 14, 0.8, 12
+#: Labelled vertices that are sent to every task at once; more are joined by shuffle.
+SENT = 20_000
+#: A form is a slot in all its places if it is one in this share of them, and in none if in no more than the other share;
+#: a syntax (a form with its words masked) is one for the forms in it from the third share on.
+MOSTLY, HARDLY, NEARLY_ALL = 0.5, 0.1, 0.7
+#: Words of the surroundings of a slot on each side.
+AROUND = 3
+
+# One wording of each message. Figures are masked, so any number stands for all.
+MESSAGES = {
+    "error": [
+        "500 Internal Server Error.", "The server met an unexpected condition.", "404 Not Found.", "The requested URL /doc/1 was not found on this server.", "The requested URL /doc/1/2 was not found on this server.",
+        "503 Service Unavailable: the service is temporarily unable to handle your request.", "Gateway time-out.", "The web server reported a gateway time-out error.", "502 Bad Gateway proxy/1",
+        "403 Forbidden You don't have permission to access /archive/1 on this server.", "Access denied.", "Error establishing a database connection (node 1).", "An error occurred while processing your request.", "Request ID: 1-2-3",
+        "Erreur 404 : la page demandée est introuvable.", "Fehler 503: Dienst nicht verfügbar.", "Página no encontrada.", "HTTP error 402: resource unavailable, rate limit exceeded", "Try again in 5 seconds.",
+        '{"error": {"code": 429, "message": "Too many requests", "request": "r-1"}}', "Upstream connect error or disconnect before headers.", "reset reason: connection timeout 1", 'Traceback (most recent call last): File "render.py", line 1 KeyError: \'body\'',
+        "Page not found Not Found id 1", "Your session has expired.", "Please log in again to continue.", "The document could not be loaded.", "Please refresh the browser and retry (E1).", "Sorry, this content isn't available right now.",
+        "We can't find the page you are looking for.", "Oops!",
+    ],
+    "notice": [
+        "Please enable JavaScript to view this page.", "JavaScript is disabled in your browser.", "Enable JS and disable any ad blocker, then try again.", "Your browser does not support scripts, or they are turned off.", "Your browser blocked them (1).",
+        "Scripts required.", "This site needs scripts to run.", "Scripts and cookies must be allowed.", "(scripting must be on)", "Turn it on and reload to continue reading.", "To use the archive viewer, activate Javascript.", "The reader for volume 1 cannot start.",
+        "Bitte aktivieren Sie JavaScript, um diese Seite zu sehen.", "Veuillez activer JavaScript pour lire cette page (1).", "Active JavaScript para ver esta página.", "Checking your browser before you proceed.", "One more step: complete the check to prove you are human.",
+        "Some features of page 1 are unavailable because active scripting is switched off in your settings.", "We're sorry but this app doesn't work properly without JavaScript enabled.", "You need to allow scripts to read article 1.", "Please turn on JS.",
+    ],
+    "filler": [
+        "Lorem ipsum.", "Body copy to come.", "Type or paste your content.", "Text text text text.", "Your document starts here.", "You can add your own words here.", "Click to edit this paragraph.", "Replace this text before publishing.",
+        "Blah blah blah, blah blah 1 blah blah.", "Blah blah.", "Here is some dummy content so that the layout can be checked, block 1.", "Sample paragraph 1.", "This is placeholder text for item 1; the final copy follows later.",
+        "Insert generated article about the chosen subject at this spot (1 words).", "Asdf jkl; asdf qwer zxcv 1 asdf jkl;", "Title: Date: Speaker: Body: (to be written, slot 1)", "Test test 123 test 1 test", "Test, test, test", "xxxx xxxxx xx xxxxxxx xxx xxxx 1 xxxx xx.",
+    ],
+}
+# The words of Latin filler; four in a row are no accident.
+_LATIN = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur"
+LATIN = rf"(?:^|[ \x01\x02])(?:(?:{'|'.join(_LATIN.split())})(?:[ \x01\x02]+|$)){{4}}"
+
+#: Spans that may be slots: anything in brackets or between signs, runs of underscores, capitals after a marker.
+_SLOT = re.compile(
+    r"\{\{[^{}\n]{0,80}\}\}|[$#]?\{[^{}\n]{1,80}\}|<%[^%\n]{1,80}%>|<<[^<>\n]{1,80}>>|\[\[[^\[\]\n]{1,80}\]\]|<[^<>\n]{1,80}>|\[[^\[\]\n]{1,80}\]|«[^«»\n]{1,80}»"
+    r"|%\(\w+\)[a-z]|%[sd]\b|@@\w+@@|\$\w+\$|__\w+?__|_{4,}|\bTK [A-Z]{3,}(?: [A-Z]{2,})*|\bTODO: ?\w+ [a-z]+|\bFIXME\b"
+)
+#: What any such span holds, in RE2.
+_SIGNS = r"[{\[<«]|@@|%s|%d|%\(|__|TK |TODO|FIXME|\$\w+\$"
+# Slots of common template languages, blank forms and the parts of a letter.
+TRUSTED = re.compile(r"\{\{.*\}\}|\$\{.*\}|%\(\w+\)s|<<.*>>|@@\w+@@|__\w+__|TODO.*|FIXME|TK [A-Z]{3,}.*|_{6,}|\[INSERT .*\]|\[(?i:recipient|sender|matter|opening paragraph|text|title|body)\]")
+_TAG = re.compile(r"</?(?:p|br|hr|b|i|u|em|a|ul|ol|li|h\d|html|head|body|title|noscript|script|style|div|span|td|tr|th|table|pre|code|sup|sub|strong|small|meta|link|img|center|font|blockquote)\b[^<>]*>", re.I)
+_ENDS = re.compile(r"\n\s*\n|(?<=[.!?…])\s+(?=\S)")
+
+_BLANK = r"[\s\v\x1c-\x1f\x{85}\pZ]"
+#: Normal form, step by step: \x01 ends a sentence, \x02 is a break inside one.
+_STEPS = [
+    (rf"{_BLANK}*\n{_BLANK}*\n{_BLANK}*", "\x01"), (rf"([.!?…]){_BLANK}+", "\\1\x01"), (rf"{_BLANK}*\n{_BLANK}*|</?[A-Za-z][^<>]{{0,40}}>", "\x02"), (rf"{_BLANK}*[:|>–—-]{_BLANK}+|[()\[\]]", "\x02"),
+    (rf"([0-9]){_BLANK}+", "\\1\x02"), (rf"{_BLANK}+([\p{{Lu}}0-9])", "\x02\\1"),
+]
+_AFTER = [(r"[^\pL\pN\x01\x02]+", " "), (r"[0-9]+(?: [0-9]+)*", "0"), (r"[ \x02]*\x02[ \x02]*", "\x02"), (r"[ \x02]*\x01[ \x02\x01]*", "\x01")]
+
+
+def normal(texts: pa.Array) -> pa.Array:
+    """Lower-cased texts without marks and figures, with sentence ends and breaks."""
+    for pattern, by in _STEPS:
+        texts = pc.replace_substring_regex(texts, pattern, by)
+    texts = pc.utf8_lower(texts)
+    for pattern, by in _AFTER:
+        texts = pc.replace_substring_regex(texts, pattern, by)
+    return texts
+
+
+def plain(text: str) -> str:
+    """The normal form of one message."""
+    return normal(pa.array([text]))[0].as_py().replace("\x01", " ").replace("\x02", " ").strip()
+
+
+def grams(text: str) -> set[bytes]:
+    """4-grams of the bytes of a text; a shorter text is its own."""
+    raw = text.encode()
+    return {raw[i : i + 4] for i in range(max(1, len(raw) - 3))}
+
+
+def rare_grams(norms: list[str], often: np.ndarray) -> set[bytes]:
+    """Of each text so many 4-grams that a text of SIMILARITY must hold one of them, the rarest ones.
+
+    often counts cells of 4-grams; any counts keep every likeness, good ones keep few others.
+    """
+    out = set()
+    for norm in norms:
+        own = sorted(grams(norm))
+        need = len(own) - int(np.ceil(SIMILARITY * len(own) - 1e-9)) + 1
+        count = often[_cells(own)]
+        out |= {own[i] for i in np.argsort(count, kind="stable")[:need]}
     return out
 
 
-def _lead(alternative: str) -> str:
-    """What a match of the alternative begins with, in RE2: up to the first free stretch, without looking ahead."""
-    return re.sub(r"\(\?![^()]*\)", "", re.split(r"\.[{*]|\(\?:\\W", alternative)[0])
+def _cell(value: np.ndarray) -> np.ndarray:
+    return (value * np.uint32(0x9E3779B1)) >> np.uint32(10)
 
 
-#: RE2 patterns of one pass each, however many branches: a slot's mark or a cue.
-_CUE = "(?i:" + "|".join([*map(re.escape, CUES), *(_lead(one) for rule in (FILLER, ERROR, NOTICE) for one in alternatives(rule))]) + ")"
-_MARKS = _CUE + r"|[{\[<«]|@@|%s|%\(|__|TK |(?i:todo)|FIXME|\$[A-Z]"
-_BLANK = r"[\s\v\x1c-\x1f\x{85}\pZ]+"
-_ENDS = re.compile(r"\n\s*\n|(?<=[.!?…])\s+(?=\S)")
+def _numbers(raw: np.ndarray) -> np.ndarray:
+    wide = raw.astype(np.uint32)
+    return wide[:-3] | (wide[1:-2] << 8) | (wide[2:-1] << 16) | (wide[3:] << 24)
 
 
-def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sentences and paragraphs that hold a mark or a cue, white space collapsed."""
-    for batch in batches:
-        # White space is collapsed first, as a cue may be wrapped.
-        held = batch.filter(pc.match_substring_regex(pc.replace_substring_regex(batch["text"], _BLANK, " "), _MARKS))
-        ids, parts = [], []
-        for one, text in zip(held["id"].to_pylist(), held["text"].to_pylist()):
-            for part in _ENDS.split(text):
-                ids.append(one)
-                parts.append(" ".join(part.split()))
-        segment = pa.array(parts, pa.string())
-        cut = pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("id").type), segment, pc.match_substring_regex(segment, _CUE)], ["id", "segment", "cued"])
-        yield cut.filter(pc.match_substring_regex(cut["segment"], _MARKS))
-
-
-def segments(records: DataFrame, record_id: str, text: str) -> DataFrame:
-    """Sentences and paragraphs with a slot's mark or a cue: id, label, cued, norm."""
+def _cells(some: list[bytes]) -> np.ndarray:
+    return _cell(np.concatenate([_numbers(np.frombuffer(g.ljust(4, b" ")[:4], np.uint8)) for g in some]))
+
+
+def _runs(sentence: str, wanted: frozenset[bytes], longest: int) -> set[tuple[str, bool]]:
+    """Runs of pieces of a sentence that hold a wanted 4-gram and are no longer than a likeness can be, and whether all of it."""
+    pieces, out = [p for p in (p.strip() for p in sentence.split("\x02")) if p], set()
+    for i in range(len(pieces)):
+        run = ""
+        for j in range(i, len(pieces)):
+            run = f"{run} {pieces[j]}" if run else pieces[j]
+            if len(run) > longest:
+                break
+            if not wanted.isdisjoint(grams(run)):
+                out.add((run, i == 0 and j == len(pieces) - 1))
+    return out
+
+
+def _joined(texts: pa.Array) -> bytes:
+    """All texts in a row, with a sentence end between them."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts), "\x01")[0].as_py().encode()
+
+
+def _messages(ids: pa.Array, texts: pa.Array, wanted: frozenset[bytes], table: np.ndarray, longest: int) -> list[tuple]:
+    """Ids, runs and whether they are whole sentences: the 4-grams of all texts are looked up at once, sentences with a wanted one are read."""
+    out = []
+    whole = _joined(texts)
+    if len(whole) < 4:
+        return out
+    raw = np.frombuffer(whole.replace(b"\x02", b" "), np.uint8)
+    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
+    hits = np.flatnonzero(table[_cell(_numbers(raw))])
+    ends = np.concatenate([[-1], np.flatnonzero(raw == 1), [len(raw)]])
+    for at in np.unique(np.searchsorted(ends, hits, side="right") - 1):
+        low, high = ends[at] + 1, ends[at + 1]
+        runs = _runs(whole[low:high].decode(), wanted, longest)
+        if runs:
+            one = ids[int(np.searchsorted(starts, low, side="right")) - 1]
+            out += [(one.as_py(), "message", run, None, None, is_whole) for run, is_whole in runs]
+    return out
+
+
+def slots(text: str) -> Iterator[tuple[str, str, str, bool]]:
+    """Of every span that may be a slot: its form, the surroundings before and after, and whether the form is trusted."""
+    for sentence in _ENDS.split(text):
+        bare = _TAG.sub(" ", " ".join(sentence.split()))
+        for m in _SLOT.finditer(bare):
+            before, after = ([w for w in re.findall(r"[^\W\d_]+|\d+", re.sub(r"\d+", "0", _SLOT.sub(" slotx ", part).lower()))] for part in (bare[: m.start()], bare[m.end() :]))
+            left = " ".join([*before[-AROUND:], "slotx"]) if len(before) > 1 else None
+            right = " ".join(["slotx", *after[:AROUND]]) if len(after) > 1 else None
+            yield re.sub(r"\d+", "0", m.group()), left, right, bool(TRUSTED.fullmatch(m.group()))
+
+
+def _read(wordings: list[str], first: bool):
+    longest = max([0, *(int(len(w.encode()) / SIMILARITY) + 4 for w in wordings)])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = None
+        for batch in batches:
+            ids, texts = batch["id"], batch["text"]
+            form = normal(texts)
+            if table is None:
+                # Counts of a stretch of the texts say which 4-grams are rare; they decide the speed, not the result.
+                some = np.frombuffer(b"    " + _joined(form)[: 1 << 20].replace(b"\x02", b" "), np.uint8)
+                wanted, table = frozenset(rare_grams(wordings, np.bincount(_cell(_numbers(some)), minlength=1 << 22))), np.zeros(1 << 22, bool)
+                if wanted:
+                    table[_cells(sorted(wanted))] = True
+            found = _messages(ids, form, wanted, table, longest)
+            if first:
+                found += [(one, "latin", "latin", None, None, True) for one in ids.filter(pc.match_substring_regex(form, LATIN)).to_pylist()]
+                held = batch.filter(pc.match_substring_regex(texts, _SIGNS))
+                found += [(one, "slot", *each) for one, text in zip(held["id"].to_pylist(), held["text"].to_pylist()) for each in slots(text)]
+            schema = pa.schema([("id", ids.type), ("part", pa.string()), ("norm", pa.string()), ("before", pa.string()), ("after", pa.string()), ("trusted", pa.bool_())])
+            yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*found) if found else [[]] * 6, schema.types)], schema=schema)
+
+    return scan
+
+
+def scanned(records: DataFrame, record_id: str, text: str, wordings: list[str], first: bool = True) -> DataFrame:
+    """id, part (message, latin or slot), norm, before, after, trusted: runs that may be like a wording and, at first, the rest.
+
+    trusted says of a slot whether its form is, of a message whether it is a whole sentence.
+    """
     body = records.select(F.col(record_id).alias("id"), F.col(text).cast("string").alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
-    each = body.mapInArrow(_marked, f"id {dict(body.dtypes)['id']}, segment string, cued boolean").withColumn("label", labelled(F.col("segment")))
-    bare = F.regexp_replace(F.lower("segment"), r"<[^<>]{0,40}>|[^\p{L}\p{N}]+", " ")
-    norm = F.trim(F.regexp_replace(bare, r"\p{N}[\p{N} ]*", "0 "))
-    return each.select("id", "label", "cued", norm.alias("norm"))
+    return body.mapInArrow(_read(wordings, first), f"id {dict(body.dtypes)['id']}, part string, norm string, before string, after string, trusted boolean")
 
 
 _BITS = (1 << np.arange(64, dtype=np.uint64)).astype(np.uint64)
 
 
 def simhash(text: str) -> int:
-    """64-bit SimHash of a text's character 4-grams, as a signed number."""
+    """64-bit SimHash of a text's 4-grams, as a signed number."""
     import xxhash
 
-    grams = {text[i : i + 4] for i in range(max(1, len(text) - 3))}
-    hashes = np.fromiter((xxhash.xxh64_intdigest(g) for g in grams), np.uint64, len(grams))
+    own = grams(text)
+    hashes = np.fromiter((xxhash.xxh64_intdigest(g) for g in own), np.uint64, len(own))
     ones = ((hashes[:, None] & _BITS) != 0).sum(0)
-    return int(np.bitwise_or.reduce(_BITS[2 * ones > len(grams)], initial=np.uint64(0)).astype(np.int64))
+    return int(np.bitwise_or.reduce(_BITS[2 * ones > len(own)], initial=np.uint64(0)).astype(np.int64))
 
 
 def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -154,52 +245,90 @@ def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def vertices(each: DataFrame) -> DataFrame:
-    """Distinct normalised sentences with their SimHash and, if any of their sentences is trusted, a label."""
-    kind = F.when(F.col("label") != "placeholder", F.col("label"))
-    distinct = each.where("(label IS NULL AND cued) OR label <> 'placeholder'").groupBy("norm").agg(F.min(kind).alias("label"))
-    return distinct.where("length(norm) >= 4").mapInPandas(_hashed, "norm string, label string, sim long")
+    """Distinct rows of norm, with a label if any row has one and whether any stands alone, and their SimHash."""
+    distinct = each.where("norm <> ''").groupBy("norm").agg(F.min("label").alias("label"), F.max("alone").alias("alone"))
+    return distinct.mapInPandas(_hashed, "norm string, label string, alone boolean, sim long")
 
 
 def _tables(df: DataFrame) -> DataFrame:
     """Each row once for each two parts of its SimHash: part names the table, bits is the key in it."""
     width = 64 // PARTS
-    cell = f"(shiftright(sim, {width} * {{}}) & {2**width - 1}L)"
-    keys = [f"struct({a * PARTS + b} AS part, {cell.format(a)} * {2**width}L + {cell.format(b)} AS bits)" for a in range(PARTS) for b in range(a)]
-    return df.withColumn("t", F.expr(f"explode(array({', '.join(keys)}))")).select("*", "t.part", "t.bits").drop("t")
+    both = F.array(*[F.lit(a * PARTS + b) for a in range(PARTS) for b in range(a)])
+    cell = f"CAST(shiftright(sim, {width} * ({{}})) & {2**width - 1}L AS int)"
+    return df.withColumn("part", F.explode(both)).withColumn("bits", F.expr(f"{cell.format(f'part DIV {PARTS}')} * {2**width} + {cell.format(f'part % {PARTS}')}"))
 
 
-def _alike(one: str, two: str) -> Column:
-    """Jaccard similarity of the character 4-grams of two columns, at least SIMILARITY."""
-    grams = [F.expr(f"array_distinct(transform(sequence(1, greatest(1, length({c}) - 3)), i -> substring({c}, i, 4)))") for c in (one, two)]
-    both = F.size(F.array_intersect(*grams))
-    return both >= SIMILARITY * (F.size(grams[0]) + F.size(grams[1]) - both)
+def _alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs whose 4-grams have at least SIMILARITY of their union in common."""
+    for batch in batches:
+        own = {text: grams(text) for text in {*batch["norm"], *batch["known"]}}
+        both = [len(own[a] & own[b]) / len(own[a] | own[b]) for a, b in zip(batch["norm"], batch["known"])]
+        yield batch[np.array(both, float) >= SIMILARITY]
 
 
 def propagated(points: DataFrame) -> DataFrame:
-    """norm and label of every vertex whose component holds a trusted one.
+    """norm, label, alone and hops of every vertex whose component holds a labelled one; hops counts links from a trusted one.
 
-    Each hop joins the newly labelled with the unlabelled in all tables; only counts reach the driver.
+    Each hop joins the newly labelled with the unlabelled in all tables; only counts reach the driver. A run inside a
+    sentence takes a label and hands none on, as runs of one sentence are like each other by their nature.
     """
     points = cut_lineage(points)
-    done = points.where("label IS NOT NULL")
-    frontier, rest = done, points.where("label IS NULL")
-    while True:
-        near = _tables(frontier.select(F.col("norm").alias("known"), F.col("label").alias("kind"), F.col("sim").alias("sim")))
-        open_ = _tables(rest.select("norm", "sim")).withColumnRenamed("sim", "own")
-        met = near.join(open_, ["part", "bits"]).where(F.bit_count(F.col("sim").bitwiseXOR(F.col("own"))) <= HAMMING)
-        met = met.select("norm", "own", "known", "kind").distinct().where(_alike("norm", "known"))
-        frontier = cut_lineage(met.groupBy("norm").agg(F.min("kind").alias("label"), F.min("own").alias("sim")).select("norm", "label", "sim"))
-        if frontier.isEmpty():
-            break
+    done = points.where("label IS NOT NULL").withColumn("hops", F.lit(0))
+    frontier, rest, hops = done, points.where("label IS NULL"), 0
+    while (size := frontier.where("alone").count()) > 0:
+        hops += 1
+        near = _tables(frontier.where("alone").select(F.col("norm").alias("known"), F.col("label").alias("kind"), "sim"))
+        near = F.broadcast(near) if size <= SENT else near
+        met = _tables(rest.select("norm", "alone", "sim")).withColumnRenamed("sim", "own").join(near, ["part", "bits"])
+        met = met.where(F.bit_count(F.col("sim").bitwiseXOR(F.col("own"))) <= HAMMING)
+        met = met.select("norm", "own", "alone", "known", "kind").distinct()
+        met = met.mapInPandas(_alike, met.schema)
+        frontier = met.groupBy("norm").agg(F.min("kind").alias("label"), F.max("alone").alias("alone"), F.min("own").alias("sim"))
+        frontier = cut_lineage(frontier.withColumn("hops", F.lit(hops)))
         done = done.unionByName(frontier)
         rest = rest.join(frontier.select("norm"), "norm", "left_anti")
-    return done.select("norm", "label")
-
-
-def residue(records: DataFrame, record_id: str, text: str) -> DataFrame:
-    """id, label and the number of such sentences of every record that holds residue."""
-    each = cut_lineage(segments(records, record_id, text))
-    labels = propagated(vertices(each)).withColumnRenamed("label", "spread")
-    trusted = each.where("label IS NOT NULL").select("id", "label")
-    spread = each.where("label IS NULL").join(labels, "norm").select("id", F.col("spread").alias("label"))
-    return trusted.unionByName(spread).groupBy("id", "label").agg(F.count("*").alias("n"))
+    return done.select("norm", "label", "alone", "hops")
+
+
+def _slot_rows(found: DataFrame) -> DataFrame:
+    """id and how each slot was known: 0 by its form, 1 by its surroundings, 2 by other places of the form, 3 by its syntax."""
+    places = found.where("part = 'slot'")
+    around = F.explode(F.array_compact(F.array("before", "after"))).alias("norm")
+    sides = places.select(F.when(F.col("trusted"), "placeholder").alias("label"), F.lit(True).alias("alone"), around)
+    known = propagated(vertices(sides)).select("norm", F.lit(True).alias("is"))
+    placed = places.join(known.select(F.col("norm").alias("before"), F.col("is").alias("by")), "before", "left").join(known.select(F.col("norm").alias("after"), F.col("is").alias("to")), "after", "left")
+    placed = cut_lineage(placed.select("id", "norm", "trusted", F.coalesce("by", "to", F.lit(False)).alias("near")))
+    # Words of a form are masked, small and capital ones apart; single letters stay.
+    syntax = F.regexp_replace(F.regexp_replace("norm", r"[A-Z][A-Za-z]+(?:[ _.][A-Za-z]+)*", "W"), r"[a-z][A-Za-z]+(?:[ _.][A-Za-z]+)*", "w")
+    forms = placed.groupBy("norm").agg(F.avg(F.col("near").cast("double")).alias("share"), F.count("*").alias("n")).withColumn("syntax", syntax)
+    kinds = forms.groupBy("syntax").agg((F.sum(F.col("share") * F.col("n")) / F.sum("n")).alias("all"))
+    forms = forms.join(kinds, "syntax").select("norm", "share", "all")
+    how = F.when(F.col("trusted"), 0).when(F.col("near") & (F.col("share") > HARDLY), 1).when(F.col("share") >= MOSTLY, 2).when(F.col("all") >= NEARLY_ALL, 3)
+    return placed.join(forms, "norm").select("id", F.lit("placeholder").alias("label"), how.alias("hops")).where("hops IS NOT NULL")
+
+
+def residue(records: DataFrame, record_id: str, text: str, messages: dict[str, list[str]] | None = None) -> DataFrame:
+    """id, label, n (places) and hops of every record that holds residue.
+
+    hops is 0 if a trusted wording or form stands in the record, else the least number of links that led to it.
+    """
+    spark = records.sparkSession
+    seeds = sorted({(plain(m), label) for label, some in (MESSAGES if messages is None else messages).items() for m in some})
+    trusted = spark.createDataFrame(seeds, "norm string, label string")
+    found = cut_lineage(scanned(records, record_id, text, [norm for norm, _ in seeds]))
+    known = trusted.select("norm")
+    while True:
+        runs = found.where("part = 'message'").select("norm", F.lit(None).cast("string").alias("label"), F.col("trusted").alias("alone"))
+        labels = cut_lineage(propagated(vertices(runs.unionByName(trusted.withColumn("alone", F.lit(True))))))
+        fresh = cut_lineage(labels.where("alone").select("norm").join(known, "norm", "left_anti"))
+        if not (size := fresh.count()):
+            break
+        # What is like the newly labelled; so many wordings are sent at once, more are sent in turns.
+        turns = -(-size // SENT)
+        for turn in range(turns):
+            own = [r.norm for r in fresh.where(F.pmod(F.xxhash64("norm"), F.lit(turns)) == turn).collect()]
+            found = found.unionByName(scanned(records, record_id, text, own, False))
+        known, found = labels.select("norm"), cut_lineage(found.distinct())
+    said = found.where("part = 'message'").join(labels, "norm").select("id", "label", "hops")
+    latin = found.where("part = 'latin'").select("id", F.lit("filler").alias("label"), F.lit(0).alias("hops"))
+    return said.unionByName(latin).unionByName(_slot_rows(found)).groupBy("id", "label").agg(F.count("*").alias("n"), F.min("hops").alias("hops"))
