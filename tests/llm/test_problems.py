@@ -166,7 +166,8 @@ def test_large_buckets_lose_no_pair(spark, monkeypatch):
     df = neardup.fingerprinted(spark.createDataFrame(rows, "id long, text string"), "id", "text")
     whole = {tuple(r) for r in neardup.candidates(df).collect()}
     monkeypatch.setattr(neardup, "BLOCK", 8)
-    assert {tuple(r) for r in neardup.candidates(df).collect()} == whole and len(whole) == 40 * 39 // 2
+    assert neardup.common_keys(df).count() == 0 and neardup.common_keys(df, 1).count() > 0
+    assert {tuple(r) for r in neardup.candidates(df, 1).collect()} == whole and len(whole) == 40 * 39 // 2
 
 
 def test_pairs_near_the_threshold_are_found(spark):
@@ -205,6 +206,31 @@ def test_banded_alignment():
         assert neardup.banded([(np.array(a, np.int32), np.array(b, np.int32), -2)])[0] == plain(a, b)
 
 
+def test_alignment_warrants_no_more_than_there_is():
+    import numpy as np
+
+    rng = random.Random(6)
+    for k in range(200):
+        a = [rng.choice(WORDS[:60]) for _ in range(120)]
+        b = list(a)
+        for _ in range(k // 6):
+            at = rng.randrange(len(b))
+            b[at : at + rng.randrange(2)] = [rng.choice(WORDS[:60])] * rng.randrange(3)
+        number = {}
+        one, two = neardup._Read(" ".join(a), number), neardup._Read(" ".join(b), number)
+        for x in (one, two):
+            x.index(len(number) + 1)
+        matched = int(neardup.banded([(one.words, two.words, 0)])[0])
+        assert neardup._common_at_least(one, two, matched) <= len(np.intersect1d(one.sequences, two.sequences))
+
+
+def test_alignment_of_very_long_texts():
+    import numpy as np
+
+    words = np.arange(70_000, dtype=np.int32) % 997
+    assert neardup.banded([(words, words, 0)])[0] == 70_000
+
+
 def test_no_records(spark):
     empty = spark.createDataFrame([], "id long, text string")
     assert neardup.near_duplicate_pairs(empty, "id", "text").count() == 0

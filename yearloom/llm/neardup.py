@@ -1,13 +1,15 @@
-"""Near-duplicate records with small edits (problem 2): Order MinHash, signatures, exact check.
+"""Near-duplicate records with small edits (problem 2): Order MinHash, banded alignment, exact share.
 
 Every text of at least LEAST_WORDS words becomes ROUNDS * BINS keys. A round deals the occurrence-labelled k-mers of a
 text into bins by hash; a key is made of the SAMPLED k-mers of least hash in a bin, taken in the order they have in the
 text, so it survives edits elsewhere but not reordering inside. Texts that share a key, and whose 128-bit signatures of
-all three-word sequences do not rule them out, are candidates. A candidate pair is settled by the exact share of common
-distinct three-word sequences alone, so texts with moved parts are kept however they align.
+all three-word sequences do not rule them out, are candidates. A banded alignment verifies them: the words it matches in
+order bound the number of common three-word sequences from below, and where this bound reaches the similarity the pair is
+settled. The others (moved parts, many edits) are settled by their exact share of common distinct sequences, so no pair
+is lost or wrong for the band's sake.
 
-Equal texts are one node throughout; they are told apart again only in the result. Buckets of any size are compared
-whole: large ones are dealt into blocks, and block against block is a task of its own.
+Equal texts are one node throughout; they are told apart again only in the result. Keys that a bounded sample shows to be
+common are dealt into blocks before the shuffle, and block against block is a task of its own; no key is left out.
 
 Defined cases: null, empty and short texts pair with nothing; a record delivered again counts once.
 """
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from yearloom.operators.graph import connected_components
@@ -30,13 +32,16 @@ SIMILARITY = 0.5
 SHINGLE = 3
 #: Words of a k-mer, k-mers in a key, bins of a round, rounds.
 KMER, SAMPLED, BINS, ROUNDS = 5, 2, 16, 2
-#: Bits of the 128-bit signatures (one-bit minima of 128 bins of the three-word sequences) that must agree before a pair
-#: is a candidate. At similarity s a bit agrees with chance (1 + s) / 2, so at SIMILARITY one pair of 1000 has fewer.
+#: Bits of the 128-bit signatures (last bits of 128 independent minima of the three-word sequences) that must agree before a
+#: pair is a candidate. At similarity s a bit agrees with chance (1 + s) / 2, so at SIMILARITY one pair of 1000 has fewer.
 AGREEING = 81
-#: Rows of a bucket that are compared in one go; larger buckets are dealt into blocks of this size.
-BLOCK = 128
+#: One text in SAMPLE tells which keys are common: those with a share of 1 / COMMON of the sampled keys, and at least LEAST of
+#: them. There are at most COMMON such keys. It decides where pairs are compared, not which.
+SAMPLE, COMMON, LEAST = 64, 20_000, 8
+#: Rows of a common key that are compared in one go.
+BLOCK = 1024
 #: Half the width of an alignment band.
-BAND = 8
+BAND = 16
 #: Characters of the texts that are verified together.
 CHUNK = 2_000_000
 
@@ -96,18 +101,24 @@ def sketch(texts: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(docs), np.concatenate(keys)
 
 
+_SEEDS = _mix(np.arange(1, 129, dtype=np.uint64) * _ODD)[:, None] | np.uint64(1)
+
+
 def signature(words: list[int]) -> tuple[int, int]:
-    """One bit for each of 128 bins, 64 to a number: the last bit of the least hash of the distinct three-word sequences in the bin."""
+    """The last bits of 128 minima of the distinct three-word sequences, 64 to a number."""
     run = np.array(words, np.uint64)
     gram = np.zeros(len(run) - SHINGLE + 1, np.uint64)
     for j in range(SHINGLE):
         gram = _mix(gram * _ODD + run[j : len(gram) + j])
-    value = np.sort(_mix(gram))
-    cell = value >> np.uint64(57)
-    first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-    bits = (_mix(value[first]) & np.uint64(1)) << (cell[first] & np.uint64(63))
-    upper = cell[first] >= np.uint64(64)
-    return tuple(int(np.bitwise_or.reduce(half, initial=np.uint64(0)).astype(np.int64)) for half in (bits[~upper], bits[upper]))
+    least = np.full((128, 1), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(gram), 4096):
+        # The high half of a product depends on all bits below it; the low bits tell equal minima apart.
+        least = np.minimum(least, (gram[None, at : at + 4096] * _SEEDS).min(axis=1, keepdims=True))
+    bits = (_mix(least[:, 0]) & np.uint64(1)) << (np.arange(128, dtype=np.uint64) & np.uint64(63))
+    return tuple(int(np.bitwise_or.reduce(half).astype(np.int64)) for half in (bits[:64], bits[64:]))
+
+
+KEYED = "key long, fp long, sign long, more long"
 
 
 def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -117,6 +128,9 @@ def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             fps, texts, signs = [], [], []
             for fp, text in zip(batch["fp"].iloc[at : at + 2000], batch["text"].iloc[at : at + 2000]):
                 if fp not in seen:
+                    # Remembered up to a bound; what is read twice falls together after the shuffle.
+                    if len(seen) > 200_000:
+                        seen.clear()
                     seen.add(fp)
                     words = WORD.findall(text.lower())
                     if len(words) >= LEAST_WORDS:
@@ -141,22 +155,31 @@ def _plausible(joined: DataFrame) -> DataFrame:
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def candidates(texts: DataFrame) -> DataFrame:
+def _sides(keyed: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The two sides of a join of rows with rows."""
+    return tuple(keyed.select(*keys, *extra, F.col("fp").alias(x), F.col("sign").alias(f"sign_{x}"), F.col("more").alias(f"more_{x}")) for x, extra in (("a", []), ("b", [])))
+
+
+def common_keys(texts: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """Keys that many texts share, with the number of blocks to deal their rows into; at most COMMON rows."""
+    some = texts.select("fp", "text").where(F.pmod("fp", F.lit(sample)) == 0).mapInPandas(_sketches, KEYED)
+    counted = cut_lineage(some.groupBy("key").agg(F.count("*").alias("n")))
+    least = max(LEAST, -(-(counted.agg(F.sum("n")).first()[0] or 0) // COMMON))
+    return counted.where(F.col("n") >= least).select("key", F.ceil(F.col("n") * sample / BLOCK).cast("int").alias("blocks"))
+
+
+def candidates(texts: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Distinct pairs (a, b), a < b, of fingerprints that share a key and have signatures close enough."""
-    keyed = texts.select("fp", "text").mapInPandas(_sketches, "key long, fp long, sign long, more long").repartition("key").distinct()
-    sized = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
-    small = sized.where(F.col("n") <= BLOCK)
-    one = small.select("key", F.col("fp").alias("a"), F.col("sign").alias("sign_a"), F.col("more").alias("more_a"))
-    two = small.select("key", F.col("fp").alias("b"), F.col("sign").alias("sign_b"), F.col("more").alias("more_b"))
+    keyed = texts.select("fp", "text").mapInPandas(_sketches, KEYED).join(F.broadcast(common_keys(texts, sample)), "key", "left")
+    rare = keyed.where("blocks IS NULL").select("key", "fp", "sign", "more").repartition("key").distinct()
+    one, two = _sides(rare, ["key"])
     pairs = _plausible(one.join(two, "key").where("a < b"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
-    dealt = sized.where(F.col("n") > BLOCK).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("key", "fp", "sign", "more", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    left = dealt.where("own = lo").select("key", "lo", "hi", F.col("fp").alias("a"), F.col("sign").alias("sign_a"), F.col("more").alias("more_a"))
-    right = dealt.where("own = hi").select("key", "lo", "hi", F.col("fp").alias("b"), F.col("sign").alias("sign_b"), F.col("more").alias("more_b"))
+    own = F.pmod(F.xxhash64("fp"), "blocks").cast("int")
+    dealt = keyed.where("blocks IS NOT NULL").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+    left, right = _sides(dealt.where("own = lo"), ["key", "lo", "hi"])[0], _sides(dealt.where("own = hi"), ["key", "lo", "hi"])[1]
     crossed = _plausible(left.join(right, ["key", "lo", "hi"]).where("a < b OR (lo < hi AND a > b)"))
-    return pairs.unionByName(crossed).distinct()
+    return pairs.unionByName(crossed).repartition("a").distinct()
 
 
 def banded(pairs: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
@@ -171,7 +194,7 @@ def banded(pairs: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
         start = diagonal - BAND
         part = b[max(0, start) : start + longest + width]
         right[row, max(0, -start) : max(0, -start) + len(part)] = part[: max(0, longest + width - max(0, -start))]
-    best = np.zeros((len(pairs), width + 1), np.int16)
+    best = np.zeros((len(pairs), width + 1), np.int32)
     for i in range(longest):
         step = np.maximum(best[:, 1:], best[:, :-1] + (right[:, i : i + width] == left[:, i : i + 1]))
         best[:, :-1] = np.maximum.accumulate(step, axis=1)
@@ -179,7 +202,7 @@ def banded(pairs: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
 
 
 class _Read:
-    """What verification needs of a text, made once for all its pairs: word numbers and sequences of three."""
+    """What verification needs of a text, made once for all its pairs: word numbers and distinct sequences of three."""
 
     def __init__(self, text: str, number: dict[str, int]) -> None:
         self.words = np.array([number.setdefault(w, len(number)) for w in WORD.findall(text.lower())], np.int32)
@@ -190,6 +213,14 @@ class _Read:
         self.sequences = np.unique((w[: n - 2] * base + w[1 : n - 1]) * base + w[2:])
 
 
+def _common_at_least(one: _Read, two: _Read, matched: int) -> int:
+    """Common distinct sequences that an alignment with so many matched words warrants.
+
+    A word of the first text without a partner breaks at most three of its sequences, one of the second at most two.
+    """
+    return len(one.sequences) - 3 * (len(one.words) - matched) - 2 * (len(two.words) - matched)
+
+
 def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
@@ -199,15 +230,17 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             read = {t: _Read(t, number) for t in {*part["text_a"], *part["text_b"]}}
             for one in read.values():
                 one.index(len(number) + 1)
-            for a, b, x, y in zip(part["a"], part["b"], part["text_a"], part["text_b"]):
-                one, two = read[x].sequences, read[y].sequences
-                if min(len(one), len(two)) >= SIMILARITY * max(len(one), len(two)):
-                    merged = np.sort(np.concatenate([one, two]), kind="stable")
+            pairs = [(read[x], read[y]) for x, y in zip(part["text_a"], part["text_b"])]
+            matched = banded([(one.words, two.words, 0) for one, two in pairs])
+            for a, b, (one, two), m in zip(part["a"], part["b"], pairs, matched):
+                both, total = _common_at_least(one, two, int(m)), len(one.sequences) + len(two.sequences)
+                aligned = both >= SIMILARITY * (total - both)
+                if not aligned and min(len(one.sequences), len(two.sequences)) >= SIMILARITY * max(len(one.sequences), len(two.sequences)):
+                    merged = np.sort(np.concatenate([one.sequences, two.sequences]), kind="stable")
                     both = int((merged[1:] == merged[:-1]).sum())
-                    either = len(merged) - both
-                    if both >= SIMILARITY * either:
-                        out.append((a, b, both / either))
-        yield pd.DataFrame(out, columns=["a", "b", "similarity"])
+                if aligned or both >= SIMILARITY * (total - both):
+                    out.append((a, b, aligned))
+        yield pd.DataFrame(out, columns=["a", "b", "aligned"])
 
 
 def _bodies(texts: DataFrame, fps: DataFrame) -> DataFrame:
@@ -216,14 +249,14 @@ def _bodies(texts: DataFrame, fps: DataFrame) -> DataFrame:
 
 
 def similar_texts(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Of candidate pairs of fingerprints (a < b), those whose texts are near-duplicates, with their similarity."""
+    """Of candidate pairs of fingerprints (a < b), those whose texts are near-duplicates, and whether the alignment settled it."""
     one = bodies.select(F.col("fp").alias("a"), F.col("text").alias("text_a"))
     two = bodies.select(F.col("fp").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(one, "a").join(two, "b").mapInPandas(_verified, "a long, b long, similarity double")
+    return pairs.join(one, "a").join(two, "b").mapInPandas(_verified, "a long, b long, aligned boolean")
 
 
 def linked(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Members (fp, id), links between different texts (a, b, similarity), and fp of long texts that several records hold."""
+    """Members (fp, id), links between different texts (a, b, aligned), and fp of long texts that several records hold."""
     members = cut_lineage(texts.select("fp", "id").distinct())
     many = members.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
     pairs = cut_lineage(candidates(texts))
