@@ -257,6 +257,18 @@ def test_defect(question, answer, defect):
     assert (pairs.defects(question, answer) or [None])[0] == defect
 
 
+def test_defects_of_long_answers():
+    no = "I'm sorry, but I cannot help with that request."
+    assert pairs.defects("Describe the case.", " ".join([no] * 17)) == ["refusal"]
+    told = " ".join(f"The court met on day {i} and heard the clerk of the county." for i in range(30))
+    assert pairs.defects("Describe the case.", f"{no} {told}") == []
+    assert pairs.defects(told, told) == ["copy"] and pairs.defects(told, f"{told} {told} {told}") == ["copy"]
+    item = "- " + " ".join(f"growers of county {i}" for i in range(60))
+    assert pairs.defects("Describe the dispute over the tariff.", f"The court met.\n{item}") == []
+    reasons = told + " Answer: Yes"
+    assert pairs.defects("Is it fair? Give your reasons before the verdict.", reasons) == []
+
+
 def test_pairs_of_tables(spark):
     train = spark.createDataFrame([(1, "System: s\n\nUser: Is it fair?\n\nAssistant: Yes\n\nUser: And that?\n\nAssistant:", None, 9), (1, "User: And that?\n\nAssistant:", None, 9), (2, "", "raw text", 9), (3, None, None, 9), (4, "User: Fair?\n\nAssistant:", " Yes", 9)], "train_id long, prompt_str string, response_str string, question int")
     rows = pairs.rendered_pairs(train).collect()
@@ -398,8 +410,8 @@ def test_mixture_meets_shares_and_caps(spark):
 
 
 @pytest.mark.parametrize("text,want", [
-    ("The court met.", "whole"), ("The court met in the", "cut"), ("The court m", "cut"), ("The court met. Affirmed", "whole"), ("The court met.\n\nBy Silas Garton", "whole"), ("He said “so.”", "whole"), ("The court met. Will...", "cut"),
-    ("The court met &hellip;", "cut"), ("before<", "cut"), ("tight rem�", "cut"), ("See Dunmere v. Morlow, 441 Tid.", "cut"), ("The court met.\n* * *", "whole"), ("fell 14.", "doubtful"), ("", "whole"), ("Yours, Avis Hale", "whole"), ("Il a vu la chambre.\nFin", "whole"),
+    ("The court met.", "whole"), ("The court met in the", "cut"), ("The court m", "cut"), ("The court met. Affirmed", "whole"), ("The court met.\n\nBy Silas Garton", "doubtful"), ("He said “so.”", "whole"), ("The court met. Will...", "cut"),
+    ("The court met &hellip;", "cut"), ("before<", "cut"), ("tight rem�", "cut"), ("See Dunmere v. Morlow, 441 Tid.", "cut"), ("The court met.\n* * *", "whole"), ("fell 14.", "doubtful"), ("", "whole"), ("It met. Yours, Avis Hale", "doubtful"), ("Il a vu la chambre.\nFin", "whole"),
 ])
 def test_ending(text, want):
     assert truncation.ending(text) == want
@@ -420,6 +432,30 @@ def test_cut_texts(spark):
     assert not got[900].is_cut and not got[901].is_cut and got[902].is_cut and not got[903].is_cut
     tops = {(r.source, r.unit, r["size"]) for r in truncation.limits(truncation.measured(df, "doc_id", "text", "source")).collect()}
     assert ("limited", "chars", 300) in tops and not any(s == "free" for s, _, _ in tops)
+    assert all(r.cut_by == ("limit" if r.source == "limited" else "transfer") for r in got.values() if r.is_cut)
     shares = {r.source: r for r in truncation.cut_shares(truncation.cut_texts(df)).collect()}
     assert shares["(none)"].n_cut == 1 and shares["free"].cut_share == 0
     assert truncation.cut_texts(df.limit(0)).count() == 0
+
+
+def test_limits_in_bytes_and_words_at_the_top(spark):
+    rows, rng = [], random.Random(3)
+    for i in range(60):
+        words = " ".join(_text(rng, 60).split()[:50])
+        rows.append((i, words, "words"))
+        broken = ("é" * (100 + i) + "aé" * 400).encode()[:501].decode(errors="replace")
+        rows.append((100 + i, broken, "bytes"))
+    rows += [(500 + i, " ".join(_text(rng, 20 + i).split()) + ".", s) for i in range(25) for s in ("words", "bytes")]
+    got = {(r.doc_id, r.source): r for r in truncation.cut_texts(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[i, "words"].limit_unit == "words" and got[i, "words"].cut_by == "limit" for i in range(60))
+    assert all(got[100 + i, "bytes"].limit_unit == "bytes" and got[100 + i, "bytes"].cut_by == "limit" for i in range(60))
+    assert not any(r.is_cut for (i, _), r in got.items() if i >= 500)
+
+
+def test_limits_decide_most_rows_of_the_given_tables(spark):
+    import os
+
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("no test data")
+    by = {r.cut_by: r.n for r in truncation.cut_texts(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).groupBy("cut_by").agg(F.count("*").alias("n")).collect()}
+    assert by["limit"] >= 3 * by["transfer"]

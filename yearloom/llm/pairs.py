@@ -76,7 +76,9 @@ _CORE = rf"""(?:
 |lo\ (?:siento|lamento)|no\ (?:puedo|me\ es\ posible|estoy\ en\ condiciones)|prefiero\ no\b|debo\ (?:negarme|declinar|rechazar)
 )"""
 _REFUSAL = re.compile(r"[\W_]*(?:" + _LEAD.replace(" ", r"\ ") + "){0,3}" + _CORE, re.I | re.X)
-_MOST_REFUSAL_WORDS = 60
+_REFUSES = re.compile(_CORE, re.I | re.X)
+#: Words in sentences that refuse nothing; so many are an answer, whatever comes before.
+_ANSWER_WORDS = 45
 
 _ABBREVIATED = re.compile(r"(?:^|[\s(“\"])(?:v|vs|Tid|Mr|Mrs|Ms|Dr|St|No|Nos|[A-Z])\.$|Tid\. Rep\.$")
 _CITED = re.compile(r"\d+ Tid\. Rep\. \d+ \(\d{4}\)$")
@@ -105,17 +107,25 @@ def _empty(answer: str) -> bool:
     return not re.search(r"[^\W_]", answer) or bool(_NO_VALUE.fullmatch(answer))
 
 
-def _copy(question: str, answer: str) -> bool:
-    """Nothing but the question, or nearly so: most of the answer's three-word runs are the question's."""
-    if len(answer) > 2.2 * len(question) + 60 or 6 * len(answer) < len(question) < 900:
+def _refuses(answer: str) -> bool:
+    """The lead refuses, and what follows is no answer: few words outside sentences that refuse too."""
+    text = answer.replace("’", "'")
+    lead = _REFUSAL.match(text)
+    if not lead:
         return False
+    rest = re.split(r"(?<=[.!?])\s+", text[lead.end() :])[1:]
+    return sum(sentence.count(" ") + 1 for sentence in rest if not _REFUSES.search(sentence)) < _ANSWER_WORDS
+
+
+def _copy(question: str, answer: str) -> bool:
+    """Nothing but the question, or nearly so: nearly all of the answer's three-word runs are the question's."""
     words, asked = re.findall(r"\w+", answer.lower()), re.findall(r"\w+", question.lower())
     if len(words) < 4 or len(words) < 0.4 * min(len(asked), 40):
         return False
     grams = {tuple(asked[i : i + 3]) for i in range(len(asked) - 2)}
     own = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
     new = sum(g not in grams for g in own)
-    return new <= 5 and new <= 0.4 * len(own)
+    return new <= max(5, 0.1 * len(own)) and new <= 0.4 * len(own)
 
 
 def _parsed(answer: str) -> object:
@@ -142,7 +152,7 @@ def _strings(value: object) -> list[str]:
 def _label_prefix(plain: str) -> bool:
     """The beginning of a label that is no label itself."""
     bare = re.sub(r"[\s.…,;:()\[\]—–-]+$", "", plain)
-    return len(bare) <= 20 and bare not in _LABEL_OF and any(x.startswith(bare) for x in _LABEL_OF)
+    return bare not in _LABEL_OF and any(x.startswith(bare) for x in _LABEL_OF)
 
 
 def _truncated(reasoned: bool, listed: bool, answer: str) -> bool:
@@ -151,18 +161,18 @@ def _truncated(reasoned: bool, listed: bool, answer: str) -> bool:
         return _parsed(end) is None
     if end.lower() in _LABEL_OF or end.rstrip(".!").lower() in _LABEL_OF:
         return False
-    if (listed or len(end) >= 2) and len(end) <= 30 and _label_prefix(end.lower()):
+    if (listed or len(end) >= 2) and _label_prefix(end.lower()):
         return True
-    last = end[-200:]
+    last = end[end.rfind("\n") + 1 :]
     if reasoned:
         verdict = _VERDICT.search(last)
         return not verdict or verdict[1].strip().rstrip(".!”\"*").lower() not in _LABEL_OF
-    if re.search(r"(?:\.\.|…|[,;:(\[{—–-])$", last[-3:]):
+    if re.search(r"(?:\.\.|…|[,;:(\[{—–-])$", last):
         return True
     if end.count("“") > end.count("”") or end.count("(") > end.count(")"):
         return True
-    if re.search(r"[.!?][”\"’')\]*]*$", last[-8:]):
-        return bool(_ABBREVIATED.search(last[-14:]))
+    if re.search(r"[.!?][”\"’')\]*]*$", last):
+        return bool(_ABBREVIATED.search(last))
     return not (_CITED.search(last) or _ITEM.search(last) or end[-1] in "”\"»)]")
 
 
@@ -185,7 +195,7 @@ def defects(question: str, answer: str | None) -> list[str]:
         if _empty(text):
             return ["empty"]
     found = []
-    if len(text) < 600 and _REFUSAL.match(text.replace("’", "'")) and text.count(" ") < _MOST_REFUSAL_WORDS:
+    if _refuses(text):
         found.append("refusal")
     if _copy(question, text):
         found.append("copy")
