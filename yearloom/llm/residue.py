@@ -23,6 +23,7 @@ Defined cases: null and blank texts are no cases; a record delivered again count
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,7 +55,7 @@ MESSAGES = {
         "403 Forbidden You don't have permission to access /archive/1 on this server.", "Access denied.", "Error establishing a database connection (node 1).", "An error occurred while processing your request.", "Request ID: 1-2-3",
         "Erreur 404 : la page demandée est introuvable.", "Fehler 503: Dienst nicht verfügbar.", "Página no encontrada.", "HTTP error 402: resource unavailable, rate limit exceeded", "Try again in 5 seconds.",
         '{"error": {"code": 429, "message": "Too many requests", "request": "r-1"}}', "Upstream connect error or disconnect before headers.", "reset reason: connection timeout 1", 'Traceback (most recent call last): File "render.py", line 1 KeyError: \'body\'',
-        "Page not found Not Found id 1", "Your session has expired.", "Please log in again to continue.", "The document could not be loaded.", "Please refresh the browser and retry (E1).", "Sorry, this content isn't available right now.",
+        "<html><head><title>Page not found</title></head><body><h1>Not Found</h1><p>id 1</p></body></html>", "Your session has expired.", "Please log in again to continue.", "The document could not be loaded.", "Please refresh the browser and retry (E1).", "Sorry, this content isn't available right now.",
         "We can't find the page you are looking for.", "Oops!",
     ],
     "notice": [
@@ -71,7 +72,7 @@ MESSAGES = {
 }
 # The words of Latin filler; four in a row are no accident.
 _LATIN = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur"
-LATIN = rf"(?:^|[ \x01\x02])(?:(?:{'|'.join(_LATIN.split())})(?:[ \x01\x02]+|$)){{4}}"
+LATIN = rf"(?i:(?:^|[^\pL])(?:(?:{'|'.join(_LATIN.split())})[^\pL]+){{3}}(?:{'|'.join(_LATIN.split())})(?:[^\pL]|$))"
 
 #: Spans that may be slots: anything in brackets or between signs, runs of underscores, capitals after a marker.
 _SLOT = re.compile(
@@ -85,28 +86,64 @@ TRUSTED = re.compile(r"\{\{.*\}\}|\$\{.*\}|%\(\w+\)s|<<.*>>|@@\w+@@|__\w+__|TODO
 _TAG = re.compile(r"</?(?:p|br|hr|b|i|u|em|a|ul|ol|li|h\d|html|head|body|title|noscript|script|style|div|span|td|tr|th|table|pre|code|sup|sub|strong|small|meta|link|img|center|font|blockquote)\b[^<>]*>", re.I)
 _ENDS = re.compile(r"\n\s*\n|(?<=[.!?…])\s+(?=\S)")
 
-_BLANK = r"[\s\v\x1c-\x1f\x{85}\pZ]"
-#: Normal form, step by step: \x01 ends a sentence, \x02 is a break inside one.
-_STEPS = [
-    (rf"{_BLANK}*\n{_BLANK}*\n{_BLANK}*", "\x01"), (rf"([.!?…]){_BLANK}+", "\\1\x01"), (rf"{_BLANK}*\n{_BLANK}*|</?[A-Za-z][^<>]{{0,40}}>", "\x02"), (rf"{_BLANK}*[:|>–—-]{_BLANK}+|[()\[\]]", "\x02"),
-    (rf"([0-9]){_BLANK}+", "\\1\x02"), (rf"{_BLANK}+([\p{{Lu}}0-9])", "\x02\\1"),
-]
-_AFTER = [(r"[^\pL\pN\x01\x02]+", " "), (r"[0-9]+(?: [0-9]+)*", "0"), (r"[ \x02]*\x02[ \x02]*", "\x02"), (r"[ \x02]*\x01[ \x02\x01]*", "\x01")]
+# Kinds of bytes: letters (also all that is not ASCII), figures, and what stands between words, by rising weight: a blank or
+# mark, a break, a sentence end, the end of a text.
+_LETTER, _DIGIT, _MARK, _BREAK, _END, _LAST = range(6)
+_WRITTEN = np.array([0, 48, 32, 2, 1, 3], np.uint8)
+_KIND = np.full(256, _MARK, np.uint8)
+_KIND[np.r_[65:91, 97:123, 128:256]], _KIND[48:58], _KIND[3] = _LETTER, _DIGIT, _LAST
+_KIND[np.frombuffer(b"<>()[]|", np.uint8)] = _BREAK
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+# Signs outside ASCII and what stands for them here.
+_SIGNS_OF = [("\u2026", ". "), ("\u2014", " - "), ("\u2013", " - "), ("\u00a0", " "), ("\u201c", '"'), ("\u201d", '"'), ("\u2018", "'"), ("\u2019", "'"), ("\x03", " ")]
 
 
-def normal(texts: pa.Array) -> pa.Array:
-    """Lower-cased texts without marks and figures, with sentence ends and breaks."""
-    for pattern, by in _STEPS:
-        texts = pc.replace_substring_regex(texts, pattern, by)
-    texts = pc.utf8_lower(texts)
-    for pattern, by in _AFTER:
-        texts = pc.replace_substring_regex(texts, pattern, by)
-    return texts
+_WORDED = f"[0-9A-Za-z]|[^\\x00-\\x7f{''.join(sign for sign, _ in _SIGNS_OF[:-1])}]"
+
+
+def normal(texts: pa.Array) -> bytes:
+    """All texts in a row, in lower case, without marks and with every number as 0.
+
+    Words are parted by a blank, by \x02 where a piece of a sentence may begin (after marks that part, figures and line ends,
+    before capitals and figures), by \x01 where a sentence ends, and by \x03 after each text.
+    """
+    for sign, by in _SIGNS_OF:
+        texts = pc.replace_substring(texts, sign, by)
+    raw = np.frombuffer(b"\x03" + pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts), "\x03")[0].as_py().encode() + b"\x03", np.uint8)
+    kind = _KIND[raw]
+    blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    before, after = np.r_[True, blank[:-1]], np.r_[blank[1:], True]
+    starts = ((raw >= 65) & (raw <= 90)) | (kind == _DIGIT)
+    parted = (blank & np.r_[starts[1:], False]) | (blank & np.r_[False, kind[:-1] == _DIGIT]) | (raw == 10)
+    parted |= after & before & (raw == 45) | after & (raw == 58)
+    kind[parted & (kind == _MARK)] = _BREAK
+    kind[((raw == 46) | (raw == 33) | (raw == 63)) & after] = _END
+    # What stands between two words counts once, with its greatest weight; two line ends are a sentence end.
+    word = kind <= _DIGIT
+    first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+    weight = np.maximum.reduceat(kind, first)
+    lines = np.add.reduceat((raw == 10).astype(np.uint8), first)
+    weight[(lines > 1) & (weight == _BREAK)] = _END
+    between = ~word[first]
+    ends = np.r_[first[1:], len(raw)]
+    # Marks inside a number vanish.
+    figure = kind == _DIGIT
+    inner = between & (weight == _MARK) & np.r_[False, figure[first[1:] - 1]] & np.r_[figure[ends[:-1]], False]
+    kept = word.copy()
+    kept[first[between & ~inner]] = True
+    out = _LOWER[raw]
+    # Capitals with accents: in UTF-8, C3 80 to C3 9E stand 32 before their small letters.
+    out[1:][(raw[:-1] == 0xC3) & (raw[1:] <= 0x9E)] += 32
+    out[figure] = 48
+    out[first[between]] = _WRITTEN[weight[between]]
+    out = out[kept]
+    return out[~((out == 48) & np.r_[False, out[:-1] == 48])].tobytes()
 
 
 def plain(text: str) -> str:
     """The normal form of one message."""
-    return normal(pa.array([text]))[0].as_py().replace("\x01", " ").replace("\x02", " ").strip()
+    return " ".join(normal(pa.array([text])).translate(bytes.maketrans(b"\x01\x02\x03", b"   ")).decode().split())
 
 
 def grams(text: str) -> set[bytes]:
@@ -142,42 +179,39 @@ def _cells(some: list[bytes]) -> np.ndarray:
     return _cell(np.concatenate([_numbers(np.frombuffer(g.ljust(4, b" ")[:4], np.uint8)) for g in some]))
 
 
-def _runs(sentence: str, wanted: frozenset[bytes], longest: int) -> set[tuple[str, bool]]:
-    """Runs of pieces of a sentence that hold a wanted 4-gram and are no longer than a likeness can be, and whether all of it."""
-    pieces, out = [p for p in (p.strip() for p in sentence.split("\x02")) if p], set()
-    for i in range(len(pieces)):
-        run = ""
+def _runs(sentence: bytes, hits: list[int], longest: int) -> set[tuple[bytes, bool]]:
+    """Runs of pieces of a sentence that hold a 4-gram looked for and are no longer than a likeness can be, and whether all of it."""
+    marks = [-1, *(i for i, c in enumerate(sentence) if c == 2), len(sentence)]
+    pieces = [(a + 1, b) for a, b in zip(marks, marks[1:]) if b > a + 1]
+    out = set()
+    for i, (start, _) in enumerate(pieces):
+        at = bisect_left(hits, start)
+        if at == len(hits):
+            break
         for j in range(i, len(pieces)):
-            run = f"{run} {pieces[j]}" if run else pieces[j]
-            if len(run) > longest:
+            end = pieces[j][1]
+            if end - start > longest:
                 break
-            if not wanted.isdisjoint(grams(run)):
-                out.add((run, i == 0 and j == len(pieces) - 1))
+            if hits[at] + 4 <= end:
+                out.add((sentence[start:end], i == 0 and j == len(pieces) - 1))
     return out
 
 
-def _joined(texts: pa.Array) -> bytes:
-    """All texts in a row, with a sentence end between them."""
-    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts), "\x01")[0].as_py().encode()
-
-
-def _messages(ids: pa.Array, texts: pa.Array, wanted: frozenset[bytes], table: np.ndarray, longest: int) -> list[tuple]:
-    """Ids, runs and whether they are whole sentences: the 4-grams of all texts are looked up at once, sentences with a wanted one are read."""
-    out = []
-    whole = _joined(texts)
-    if len(whole) < 4:
+def _messages(ids: list, form: bytes, table: np.ndarray, longest: int) -> list[tuple]:
+    """Ids, runs and whether they are whole sentences: the 4-grams of all texts are looked up at once, sentences with one looked for are read."""
+    out, raw = [], np.frombuffer(form.replace(b"\x02", b" "), np.uint8)
+    if len(raw) < 4:
         return out
-    raw = np.frombuffer(whole.replace(b"\x02", b" "), np.uint8)
-    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
-    starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
     hits = np.flatnonzero(table[_cell(_numbers(raw))])
-    ends = np.concatenate([[-1], np.flatnonzero(raw == 1), [len(raw)]])
-    for at in np.unique(np.searchsorted(ends, hits, side="right") - 1):
-        low, high = ends[at] + 1, ends[at + 1]
-        runs = _runs(whole[low:high].decode(), wanted, longest)
-        if runs:
-            one = ids[int(np.searchsorted(starts, low, side="right")) - 1]
-            out += [(one.as_py(), "message", run, None, None, is_whole) for run, is_whole in runs]
+    ends = np.flatnonzero((raw == 1) | (raw == 3))
+    texts = np.cumsum(raw[ends] == 3) - 1
+    at = np.searchsorted(ends, hits, side="right") - 1
+    for own in np.split(np.arange(len(hits)), np.flatnonzero(np.diff(at)) + 1) if len(hits) else ():
+        one = at[own[0]]
+        if 0 <= one < len(ends) - 1:
+            start = int(ends[one]) + 1
+            runs = _runs(form[start : ends[one + 1]], (hits[own] - start).tolist(), longest)
+            out += [(ids[texts[one]], "message", " ".join(run.replace(b"\x02", b" ").decode(errors="replace").split()), None, None, whole) for run, whole in runs]
     return out
 
 
@@ -198,17 +232,19 @@ def _read(wordings: list[str], first: bool):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = None
         for batch in batches:
+            # Texts without a letter or figure would leave no trace in the row of texts.
+            batch = batch.filter(pc.match_substring_regex(batch["text"], _WORDED))
             ids, texts = batch["id"], batch["text"]
             form = normal(texts)
             if table is None:
                 # Counts of a stretch of the texts say which 4-grams are rare; they decide the speed, not the result.
-                some = np.frombuffer(b"    " + _joined(form)[: 1 << 20].replace(b"\x02", b" "), np.uint8)
-                wanted, table = frozenset(rare_grams(wordings, np.bincount(_cell(_numbers(some)), minlength=1 << 22))), np.zeros(1 << 22, bool)
-                if wanted:
-                    table[_cells(sorted(wanted))] = True
-            found = _messages(ids, form, wanted, table, longest)
+                some = np.frombuffer(b"    " + form[: 1 << 20].replace(b"\x02", b" "), np.uint8)
+                table = np.zeros(1 << 22, bool)
+                if wordings:
+                    table[_cells(sorted(rare_grams(wordings, np.bincount(_cell(_numbers(some)), minlength=1 << 22))))] = True
+            found = _messages(ids.to_pylist(), form, table, longest)
             if first:
-                found += [(one, "latin", "latin", None, None, True) for one in ids.filter(pc.match_substring_regex(form, LATIN)).to_pylist()]
+                found += [(one, "latin", "latin", None, None, True) for one in ids.filter(pc.match_substring_regex(texts, LATIN)).to_pylist()]
                 held = batch.filter(pc.match_substring_regex(texts, _SIGNS))
                 found += [(one, "slot", *each) for one, text in zip(held["id"].to_pylist(), held["text"].to_pylist()) for each in slots(text)]
             schema = pa.schema([("id", ids.type), ("part", pa.string()), ("norm", pa.string()), ("before", pa.string()), ("after", pa.string()), ("trusted", pa.bool_())])
@@ -226,22 +262,33 @@ def scanned(records: DataFrame, record_id: str, text: str, wordings: list[str],
     return body.mapInArrow(_read(wordings, first), f"id {dict(body.dtypes)['id']}, part string, norm string, before string, after string, trusted boolean")
 
 
-_BITS = (1 << np.arange(64, dtype=np.uint64)).astype(np.uint64)
+def simhashes(texts: list[str]) -> np.ndarray:
+    """64-bit SimHash of the 4-grams of each text, as signed numbers."""
+    raw = np.frombuffer("".join(t.ljust(4) + "\x03" for t in texts).encode(), np.uint8)
+    ends = np.flatnonzero(raw == 3)
+    starts = np.r_[0, ends[:-1] + 1]
+    inside = np.ones(len(raw), bool)
+    for back in range(4):
+        inside[ends - back] = False
+    at = np.flatnonzero(inside)
+    value = _numbers(raw)[at].astype(np.uint64) + np.uint64(1)
+    for odd in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93):
+        value = (value ^ (value >> np.uint64(31))) * np.uint64(odd)
+    value ^= value >> np.uint64(29)
+    first = np.searchsorted(at, starts)
+    ones = np.add.reduceat(np.unpackbits(value.view(np.uint8).reshape(-1, 8), axis=1), first, axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > np.diff(np.r_[first, len(at)])[:, None], axis=1).view(np.int64)[:, 0]
 
 
 def simhash(text: str) -> int:
-    """64-bit SimHash of a text's 4-grams, as a signed number."""
-    import xxhash
-
-    own = grams(text)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(g) for g in own), np.uint64, len(own))
-    ones = ((hashes[:, None] & _BITS) != 0).sum(0)
-    return int(np.bitwise_or.reduce(_BITS[2 * ones > len(own)], initial=np.uint64(0)).astype(np.int64))
+    return int(simhashes([text])[0])
 
 
 def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield batch.assign(sim=[simhash(t) for t in batch["norm"]])
+        for at in range(0, len(batch), 4096):
+            part = batch.iloc[at : at + 4096]
+            yield part.assign(sim=simhashes(part["norm"].tolist()))
 
 
 def vertices(each: DataFrame) -> DataFrame:
@@ -272,7 +319,6 @@ def propagated(points: DataFrame) -> DataFrame:
     Each hop joins the newly labelled with the unlabelled in all tables; only counts reach the driver. A run inside a
     sentence takes a label and hands none on, as runs of one sentence are like each other by their nature.
     """
-    points = cut_lineage(points)
     done = points.where("label IS NOT NULL").withColumn("hops", F.lit(0))
     frontier, rest, hops = done, points.where("label IS NULL"), 0
     while (size := frontier.where("alone").count()) > 0:
@@ -295,7 +341,7 @@ def _slot_rows(found: DataFrame) -> DataFrame:
     places = found.where("part = 'slot'")
     around = F.explode(F.array_compact(F.array("before", "after"))).alias("norm")
     sides = places.select(F.when(F.col("trusted"), "placeholder").alias("label"), F.lit(True).alias("alone"), around)
-    known = propagated(vertices(sides)).select("norm", F.lit(True).alias("is"))
+    known = propagated(cut_lineage(vertices(sides))).select("norm", F.lit(True).alias("is"))
     placed = places.join(known.select(F.col("norm").alias("before"), F.col("is").alias("by")), "before", "left").join(known.select(F.col("norm").alias("after"), F.col("is").alias("to")), "after", "left")
     placed = cut_lineage(placed.select("id", "norm", "trusted", F.coalesce("by", "to", F.lit(False)).alias("near")))
     # Words of a form are masked, small and capital ones apart; single letters stay.
@@ -307,6 +353,10 @@ def _slot_rows(found: DataFrame) -> DataFrame:
     return placed.join(forms, "norm").select("id", F.lit("placeholder").alias("label"), how.alias("hops")).where("hops IS NOT NULL")
 
 
+def _runs_of(found: DataFrame) -> DataFrame:
+    return found.where("part = 'message'").select("norm", F.lit(None).cast("string").alias("label"), F.col("trusted").alias("alone"))
+
+
 def residue(records: DataFrame, record_id: str, text: str, messages: dict[str, list[str]] | None = None) -> DataFrame:
     """id, label, n (places) and hops of every record that holds residue.
 
@@ -316,10 +366,10 @@ def residue(records: DataFrame, record_id: str, text: str, messages: dict[str, l
     seeds = sorted({(plain(m), label) for label, some in (MESSAGES if messages is None else messages).items() for m in some})
     trusted = spark.createDataFrame(seeds, "norm string, label string")
     found = cut_lineage(scanned(records, record_id, text, [norm for norm, _ in seeds]))
-    known = trusted.select("norm")
+    points = cut_lineage(vertices(_runs_of(found).unionByName(trusted.withColumn("alone", F.lit(True)))))
+    known = points.where("label IS NOT NULL").select("norm")
     while True:
-        runs = found.where("part = 'message'").select("norm", F.lit(None).cast("string").alias("label"), F.col("trusted").alias("alone"))
-        labels = cut_lineage(propagated(vertices(runs.unionByName(trusted.withColumn("alone", F.lit(True))))))
+        labels = cut_lineage(propagated(points))
         fresh = cut_lineage(labels.where("alone").select("norm").join(known, "norm", "left_anti"))
         if not (size := fresh.count()):
             break
@@ -327,8 +377,11 @@ def residue(records: DataFrame, record_id: str, text: str, messages: dict[str, l
         turns = -(-size // SENT)
         for turn in range(turns):
             own = [r.norm for r in fresh.where(F.pmod(F.xxhash64("norm"), F.lit(turns)) == turn).collect()]
-            found = found.unionByName(scanned(records, record_id, text, own, False))
-        known, found = labels.select("norm"), cut_lineage(found.distinct())
+            more = cut_lineage(scanned(records, record_id, text, own, False))
+            points = points.unionByName(vertices(_runs_of(more).join(points.select("norm"), "norm", "left_anti")))
+            found = found.unionByName(more)
+        known, points = labels.select("norm"), cut_lineage(points.dropDuplicates(["norm"]))
+    found = found.distinct()
     said = found.where("part = 'message'").join(labels, "norm").select("id", "label", "hops")
     latin = found.where("part = 'latin'").select("id", F.lit("filler").alias("label"), F.lit(0).alias("hops"))
     return said.unionByName(latin).unionByName(_slot_rows(found)).groupBy("id", "label").agg(F.count("*").alias("n"), F.min("hops").alias("hops"))
