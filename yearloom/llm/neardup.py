@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from yearloom.operators.graph import connected_components
@@ -32,10 +32,10 @@ SIMILARITY = 0.5
 SHINGLE = 3
 #: Words of a k-mer, k-mers in a key, bins of a round, rounds.
 KMER, SAMPLED, BINS, ROUNDS = 5, 2, 16, 2
-#: Two bits of each of 128 independent minima of the three-word sequences are a text's signature. So many of the first bits, and of all
-#: bits, must agree before a pair is a candidate. At similarity s a bit agrees with chance (1 + s) / 2, so at SIMILARITY
-#: one pair of 1000 has fewer of either.
-AGREEING, AGREEING_BOTH = 81, 167
+#: Bits of the 128-bit signatures (last bits of 128 independent minima of the three-word sequences) that must agree before a pair
+#: is a candidate. At similarity s a bit agrees with chance (1 + s) / 2: of pairs at SIMILARITY one in 200 has fewer, at 0.55 one
+#: in 1600, at 0.6 one in 18,000.
+AGREEING = 84
 #: One text in SAMPLE tells which keys are common: those with a share of 1 / COMMON of the sampled keys, and at least LEAST of
 #: them. There are at most COMMON such keys. It decides where pairs are compared, not which.
 SAMPLE, COMMON, LEAST = 64, 20_000, 8
@@ -106,7 +106,7 @@ _SEEDS = _mix(np.arange(1, 129, dtype=np.uint64) * _ODD)[:, None] | np.uint64(1)
 
 
 def signature(words: list[int]) -> np.ndarray:
-    """Two bits of each of 128 minima of the distinct three-word sequences: the first bits as two numbers, then the second."""
+    """The last bits of 128 minima of the distinct three-word sequences, as two numbers."""
     run = np.array(words, np.uint64)
     gram = np.zeros(len(run) - SHINGLE + 1, np.uint64)
     for j in range(SHINGLE):
@@ -114,13 +114,10 @@ def signature(words: list[int]) -> np.ndarray:
     least = np.full((128, 1), np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(gram), 4096):
         least = np.minimum(least, (gram[None, at : at + 4096] * _SEEDS).min(axis=1, keepdims=True))
-    mixed = _mix(least[:, 0])
-    bits = np.concatenate([mixed & np.uint64(1), (mixed >> np.uint64(1)) & np.uint64(1)]).astype(np.uint8)
-    return np.packbits(bits).view(np.int64)
+    return np.packbits((_mix(least[:, 0]) & np.uint64(1)).astype(np.uint8)).view(np.int64)
 
 
-#: A row of kind 0 is a key of a text, of kind 1 the text's second bits.
-KEYED = "kind int, key long, fp long, sign long, more long"
+KEYED = "key long, fp long, sign long, more long"
 
 
 def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -141,8 +138,7 @@ def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if texts:
                 doc, key = sketch(texts)
                 sign, own = np.stack([signature(t) for t in texts]), np.array(fps, np.int64)
-                yield pd.DataFrame({"kind": 0, "key": key, "fp": own[doc], "sign": sign[doc, 0], "more": sign[doc, 1]})
-                yield pd.DataFrame({"kind": 1, "key": own, "fp": own, "sign": sign[:, 2], "more": sign[:, 3]})
+                yield pd.DataFrame({"key": key, "fp": own[doc], "sign": sign[doc, 0], "more": sign[doc, 1]})
 
 
 def fingerprinted(records: DataFrame, record_id: str, text: str) -> DataFrame:
@@ -151,19 +147,9 @@ def fingerprinted(records: DataFrame, record_id: str, text: str) -> DataFrame:
     return body.where(F.col("id").isNotNull() & (F.length("text") >= 2 * LEAST_WORDS - 1)).withColumn("fp", F.xxhash64("text"))
 
 
-def _agreeing() -> Column:
-    """Bits in which the signatures of both sides agree."""
-    return 128 - F.bit_count(F.col("sign_a").bitwiseXOR(F.col("sign_b"))) - F.bit_count(F.col("more_a").bitwiseXOR(F.col("more_b")))
-
-
-def _side(rows: DataFrame, x: str, *kept: str) -> DataFrame:
-    """Rows as one side of a join."""
-    return rows.select(*kept, F.col("fp").alias(x), F.col("sign").alias(f"sign_{x}"), F.col("more").alias(f"more_{x}"))
-
-
 def common_keys(texts: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Keys that many texts share, with the number of blocks to deal their rows into; at most COMMON rows."""
-    some = texts.select("fp", "text").where(F.pmod("fp", F.lit(sample)) == 0).mapInPandas(_sketches, KEYED).where("kind = 0")
+    some = texts.select("fp", "text").where(F.pmod("fp", F.lit(sample)) == 0).mapInPandas(_sketches, KEYED)
     counted = cut_lineage(some.groupBy("key").agg(F.count("*").alias("n")))
     least = max(LEAST, -(-(counted.agg(F.sum("n")).first()[0] or 0) // COMMON))
     return counted.where(F.col("n") >= least).select("key", F.ceil(F.col("n") * sample / BLOCK).cast("long").alias("blocks"))
@@ -173,22 +159,20 @@ def candidates(texts: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Distinct pairs (a, b), a < b, of fingerprints that share a key and have signatures close enough.
 
     All rows go through one shuffle. Rows of a common key are dealt into its blocks, once for each block they meet; a cell is
-    such a pair of blocks (0 if the key is not common), and own says on which sides of the cell a row stands.
+    such a pair of blocks (0 if the key is not common), and side is 0 where a block meets itself, else 1 or 3.
     """
     common = F.broadcast(common_keys(texts, sample))
     keyed = texts.select("fp", "text").mapInPandas(_sketches, KEYED).join(common, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    own = F.pmod(F.xxhash64("fp"), "blocks")
-    dealt = keyed.withColumn("mine", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    mine, other = F.pmod(F.xxhash64("fp"), "blocks"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    dealt = keyed.withColumn("mine", mine).withColumn("other", other)
     cell = F.least("mine", "other") * 2**31 + F.greatest("mine", "other")
-    side = F.when(F.col("mine") == F.col("other"), "b").when(F.col("mine") < F.col("other"), "l").otherwise("r")
-    dealt = dealt.select("kind", "key", cell.alias("cell"), side.alias("side"), "fp", "sign", "more").repartition("key", "cell").distinct()
-    keys = dealt.where("kind = 0")
-    left, right = _side(keys.where("side IN ('b', 'l')"), "a", "key", "cell", "side"), _side(keys.where("side IN ('b', 'r')"), "b", "key", "cell")
-    pairs = left.join(right, ["key", "cell"]).where("side = 'l' OR a < b").where(_agreeing() >= AGREEING)
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), _agreeing().alias("agree")).where("a < b").repartition("a").distinct()
-    second = dealt.where("kind = 1")
-    both = pairs.join(_side(second, "a"), "a").join(_side(second, "b"), "b")
-    return both.where(F.col("agree") + _agreeing() >= AGREEING_BOTH).select("a", "b").distinct()
+    side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(3)
+    dealt = dealt.select("key", cell.cast("long").alias("cell"), side.alias("side"), "fp", "sign", "more").repartition("key", "cell").distinct()
+    one, two = (dealt.select("key", "cell", *[F.col(c).alias(f"{c}_{x}") for c in ("side", "fp", "sign", "more")]) for x in "ab")
+    # Conditions on both sides at once are not pushed below the shuffle, so both sides share it.
+    met = one.join(two, ["key", "cell"]).where("fp_a < fp_b AND side_a + side_b IN (0, 4)")
+    apart = F.bit_count(F.col("sign_a").bitwiseXOR(F.col("sign_b"))) + F.bit_count(F.col("more_a").bitwiseXOR(F.col("more_b")))
+    return met.where(apart <= 128 - AGREEING).select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).repartition("a").distinct()
 
 
 def banded(pairs: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
