@@ -45,10 +45,10 @@ def edition(year: Column) -> Column:
     return F.when(year >= 2011, "daily").otherwise("bound")
 
 
-def learning_rate(step: Column, total: int, peak: float, warm_up: float = 0.03, floor: float = 0.1) -> Column:
+def learning_rate(step: Column, total: Column, peak: float, warm_up: float = 0.03, floor: float = 0.1) -> Column:
     """Linear warm-up, then a cosine down to the floor's share of the peak."""
-    warm = max(1, round(total * warm_up))
-    left = F.least(F.lit(1.0), (step - warm) / max(1, total - warm))
+    warm = F.greatest(F.lit(1.0), F.floor(total * warm_up + 0.5))
+    left = F.least(F.lit(1.0), (step - warm) / F.greatest(F.lit(1.0), total - warm))
     return F.when(step < warm, peak * (step + 1) / warm).otherwise(peak * (floor + (1 - floor) * 0.5 * (1 + F.cos(F.lit(3.141592653589793) * left))))
 
 

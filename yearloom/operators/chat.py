@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from yearloom.session import cut_lineage
+
 
 def messages(turns: DataFrame, record: str, turn: str, role: str, content: str) -> DataFrame:
     """One row for each record: its messages in turn order. A record is bounded by its conversation, not by the data."""
@@ -30,7 +32,7 @@ def split_prompt(text: Column) -> Column:
 
 def conversation_status(items: Column) -> Column:
     """ok, too_short or bad_roles: after an optional system turn, user and assistant take turns."""
-    rest = F.when(items[0]["role"] == "system", F.slice(items, 2, 10000)).otherwise(items)
+    rest = F.when(items[0]["role"] == "system", F.slice(items, F.lit(2), F.greatest(F.size(items) - 1, F.lit(0)))).otherwise(items)
     turns = F.forall(F.transform(rest, lambda m, i: m["role"] == F.when(i % 2 == 0, "user").otherwise("assistant")), lambda ok: ok)
     return F.when(F.size(rest) < 2, "too_short").when(~turns, "bad_roles").otherwise("ok")
 
@@ -41,14 +43,13 @@ def token_mask(items: Column) -> Column:
     return F.flatten(parts)
 
 
-def running_start(df: DataFrame, order: str, size: str, cells: int = 200, into: str = "start") -> DataFrame:
-    """Sum of the sizes before each row in a global order, in two levels: inside ranges of the order and over ranges.
+def running_start(df: DataFrame, order: str, size: str, into: str = "start") -> DataFrame:
+    """Sum of the sizes before each row in a global order of any type, in two levels: inside ranges of the order and over ranges.
 
-    The ranges come from approximate quantiles of the order, so none holds much more than its share of the rows, and
-    the only single-task window runs over one row a range.
+    The ranges are those of a range partitioning, kept in a checkpoint as they come from a sample; they decide the balance
+    of the tasks and not the result. The only single-task window runs over one row a range.
     """
-    marks = df.agg(F.percentile_approx(order, F.array(*[F.lit(i / cells) for i in range(1, cells)]), 10000).alias("marks"))
-    celled = df.join(F.broadcast(marks)).withColumn("_cell", F.size(F.filter("marks", lambda m: m < F.col(order)))).drop("marks")
+    celled = cut_lineage(df.repartitionByRange(order).withColumn("_cell", F.spark_partition_id()))
     before = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     totals = celled.groupBy("_cell").agg(F.sum(size).alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
     inside = F.coalesce(F.sum(size).over(Window.partitionBy("_cell").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -23,7 +23,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
     links = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
     now = cut_lineage(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
-    for _ in range(most_rounds):
+    for last in range(most_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.unionByName(now.where("u = v")).distinct()
@@ -33,5 +33,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before:
             break
+        if last == most_rounds - 1:
+            raise RuntimeError(f"components have not settled after {most_rounds} rounds; rounds grow with the logarithm of the nodes")
         before = state
     return now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")

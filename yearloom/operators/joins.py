@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Phrases that may be looked for in one expression; more go through the word index of phrase_hits.
-MOST_PHRASES = 2000
+#: Phrases of one automaton; more make more automata.
+PHRASES = 50_000
 
 
 def year_window(models: DataFrame, policies: DataFrame, before: int, after: int) -> DataFrame:
@@ -45,22 +48,55 @@ def as_of(left: DataFrame, right: DataFrame, on: list[str], left_at: str, right_
 
 def matched_topics(text: Column, topics: dict[str, list[str]]) -> Column:
     """Topics any of whose keywords a text holds, without regard to case; an array in the order given."""
-    low = F.lower(text)
-    hit = []
-    for topic, words in topics.items():
-        any_word = F.lit(False)
-        for word in words:
-            any_word = any_word | low.contains(word.lower())
-        hit.append(F.when(any_word, F.lit(topic)))
-    return F.array_compact(F.array(*hit))
-
-
-def first_phrase(text: Column, phrases: list[str]) -> Column:
-    """The first of the phrases, in their order, that a text holds; null if none."""
-    if len(phrases) > MOST_PHRASES:
-        raise ValueError("too many phrases for one expression")
-    low = F.lower(text)
-    return F.coalesce(*[F.when(low.contains(p.lower()), F.lit(p)) for p in phrases]) if phrases else F.lit(None).cast("string")
+
+    def hits(low: Column) -> Column:
+        found = []
+        for topic, words in topics.items():
+            any_word = F.lit(False)
+            for word in words:
+                any_word = any_word | low.contains(word.lower())
+            found.append(F.when(any_word, F.lit(topic)))
+        return F.array_compact(F.array(*found))
+
+    # The text is lowered once, whatever the number of keywords.
+    return F.transform(F.array(F.lower(text)), hits)[0]
+
+
+def first_phrase(text: Column, phrases: list[str], block: int = PHRASES) -> Column:
+    """The first of any number of phrases, in their order, that a text holds without regard to case; null if none.
+
+    A text is read once for each block of phrases, by one automaton, so the work does not grow with the phrases of a block.
+    """
+    parts = [_first_of(phrases[at : at + block])(text) for at in range(0, len(phrases), block)]
+    return F.coalesce(*parts) if parts else F.lit(None).cast("string")
+
+
+def _first_of(phrases: list[str]):
+    lowered = [p.lower() for p in phrases]
+
+    @F.pandas_udf("string")
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        found = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for i in range(len(lowered) - 1, -1, -1):
+            if lowered[i]:
+                found.add_word(lowered[i], i)
+        if len(found):
+            found.make_automaton()
+        empty = min((i for i, p in enumerate(lowered) if not p), default=None)
+
+        def first(text: str | None) -> str | None:
+            if text is None:
+                return None
+            least = min((i for _, i in found.iter(text.lower())), default=None) if len(found) else None
+            least = empty if least is None else least if empty is None else min(least, empty)
+            return None if least is None else phrases[least]
+
+        for batch in batches:
+            yield batch.map(first, na_action=None)
+
+    return find
 
 
 def zipped(left: DataFrame, right: DataFrame, left_order: str, right_order: str) -> DataFrame:

@@ -11,10 +11,16 @@ def hash_order(seed: str, *keys: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(seed), *[k.cast("string") for k in keys]))
 
 
-def first_per_group(df: DataFrame, groups: list[str], order: list[Column], most: Column | int) -> DataFrame:
-    """At most so many rows of each group in the given order. Spark stops a group early (window group limit)."""
+def first_per_group(df: DataFrame, groups: list[str], order: list[Column], most: Column | int, bound: int | None = None) -> DataFrame:
+    """At most so many rows of each group in the given order.
+
+    Spark stops a group early, before the shuffle (window group limit), if it can see a number: give the greatest number as
+    bound where `most` is a column.
+    """
     nth = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
-    return df.withColumn("_nth", nth).where(F.col("_nth") <= most).drop("_nth")
+    ranked = df.withColumn("_nth", nth)
+    ranked = ranked if bound is None else ranked.where(F.col("_nth") <= bound)
+    return ranked.where(F.col("_nth") <= most).drop("_nth")
 
 
 def with_position(df: DataFrame, groups: list[str], order: list[Column], into: str = "pos") -> DataFrame:
@@ -22,6 +28,23 @@ def with_position(df: DataFrame, groups: list[str], order: list[Column], into: s
     return df.withColumn(into, (F.row_number().over(Window.partitionBy(*groups).orderBy(*order)) - 1).cast("long"))
 
 
+def hash_position(df: DataFrame, groups: list[str], digest: Column, ties: list[Column], into: str = "pos", digits: int = 3) -> DataFrame:
+    """0-based position of each row in its group by a hex digest, ties by the given columns.
+
+    Ranked in two levels: cells of equal leading digits in parallel, then the rows of earlier cells are added, one row for each
+    group and cell. No task holds a whole group. Groups may be null.
+    """
+    celled = df.withColumn("_digest", digest).withColumn("_cell", F.substring("_digest", 1, digits))
+    inside = F.row_number().over(Window.partitionBy(*groups, "_cell").orderBy("_digest", *ties)) - 1
+    before = Window.partitionBy(*groups).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = celled.groupBy(*groups, "_cell").agg(F.count("*").alias("_n")).withColumn("_n", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    on = F.col("x._cell") == F.col("y._cell")
+    for key in groups:
+        on = on & F.col(f"x.{key}").eqNullSafe(F.col(f"y.{key}"))
+    placed = celled.withColumn("_inside", inside).alias("x").join(ahead.alias("y"), on)
+    return placed.select(*[F.col(f"x.{c}") for c in df.columns], (F.col("x._inside") + F.col("y._n")).cast("long").alias(into))
+
+
 def quota_fill(df: DataFrame, groups: list[str], priority: Column, order: list[Column], target: int) -> DataFrame:
     """Rows of first priority up to the target, the others filling what is left; shortfalls stay."""
     return first_per_group(df.withColumn("_priority", priority), groups, [F.col("_priority"), *order], target).drop("_priority")

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from yearloom.operators.selection import hash_order, with_position
+from yearloom.operators.selection import hash_order, hash_position
 
 
 @dataclass(frozen=True)
@@ -48,6 +48,8 @@ def year_weights(model_years: DataFrame, pools: DataFrame, spec: Spec) -> DataFr
 def allocate(weights: DataFrame, sizes: DataFrame, per_year: int | None = None, total: int | None = None) -> DataFrame:
     """Whole counts by largest remainder, ties to the latest year; then clipped to the pool without redistribution.
 
+    A source year that has no row in sizes is not clipped.
+
     weights: model_year, source_year, weight; sizes: source_year, n. Exactly one budget must be given.
     """
     if (per_year is None) == (total is None):
@@ -58,12 +60,12 @@ def allocate(weights: DataFrame, sizes: DataFrame, per_year: int | None = None,
     shared = shared.withColumn("_floor", F.floor("_exact")).withColumn("_left", F.col("_budget") - F.sum("_floor").over(of_model))
     nth = F.row_number().over(of_model.orderBy(F.desc(F.col("_exact") - F.col("_floor")), F.desc("source_year")))
     shared = shared.withColumn("_want", F.col("_floor") + (nth <= F.col("_left")).cast("long"))
-    return shared.join(sizes, "source_year", "left").select("model_year", "source_year", "weight", F.col("_want").alias("wanted"), F.least("_want", F.coalesce("n", F.lit(0))).alias("n_rows"))
+    return shared.join(sizes, "source_year", "left").select("model_year", "source_year", "weight", F.col("_want").alias("wanted"), F.least("_want", "n").alias("n_rows"))
 
 
 def stable_order(rows: DataFrame, year: str, key: str, seed: int = 0) -> DataFrame:
     """Position of each row in the shuffle of its year; adding rows keeps the order of the others, so prefixes nest."""
-    return with_position(rows, [year], [hash_order(str(seed), F.col(year), F.col(key)), F.col(key)])
+    return hash_position(rows, [year], hash_order(str(seed), F.col(year), F.col(key)), [F.col(key)])
 
 
 def build_pool(rows: DataFrame, year: str, key: str, target: int, seed: int = 0) -> DataFrame:
@@ -92,7 +94,7 @@ def assemble(pool: DataFrame, counts: DataFrame, year: str, key: str, seed: int
     """The records of each model year: the first n_rows of every source year's pool, in one shuffled order."""
     picked = pool.join(counts.select("model_year", F.col("source_year").alias(year), "n_rows"), year).where(F.col("pos") < F.col("n_rows"))
     picked = picked.select("model_year", F.col(year).alias("source_year"), F.col("pos").alias("source_pos"), key)
-    return with_position(picked, ["model_year"], [hash_order(str(seed), F.col("model_year"), F.col("source_year"), F.col("source_pos")), F.col("source_year"), F.col("source_pos")])
+    return hash_position(picked, ["model_year"], hash_order(str(seed), F.col("model_year"), F.col("source_year"), F.col("source_pos")), [F.col("source_year"), F.col("source_pos")])
 
 
 def assembly_manifest(assembled: DataFrame, manifest: DataFrame, weights: DataFrame, year: str) -> DataFrame:

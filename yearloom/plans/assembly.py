@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from yearloom.operators import joins as J
@@ -149,7 +149,7 @@ def label_trim(spark: SparkSession, d: str) -> DataFrame:
     want = S.even_split(101, ["Yes", "No"])
     rows = table(spark, d, "run").where((F.lower(F.trim("role")) == "assistant") & F.col("target_label").isin(list(want))).select("msg_id", "target_label").distinct()
     most = F.when(F.col("target_label") == "Yes", want["Yes"]).otherwise(want["No"])
-    return S.first_per_group(rows, ["target_label"], [F.col("msg_id")], most)
+    return S.first_per_group(rows, ["target_label"], [F.col("msg_id")], most, max(want.values()))
 
 
 @query("SELECT target_label, count(DISTINCT msg_id) AS n FROM run WHERE lower(trim(role)) = 'assistant' GROUP BY target_label")
@@ -164,15 +164,13 @@ def fewshot(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "heldout").select("item_id", F.substring_index("item_id", "-", 1).alias("suite"), "expected")
     shots = items.where("expected IS NOT NULL").select("suite", F.col("item_id").alias("shot"))
     pairs = items.select("item_id", "suite").join(shots, "suite").where("item_id <> shot")
-    placed = S.with_position(pairs, ["item_id"], [S.hash_order("1234", F.col("item_id"), F.col("shot")), F.col("shot")], "place")
-    return placed.where("place < 5").select("item_id", "shot", (F.col("place") + 1).alias("place"))
+    order = Window.partitionBy("item_id").orderBy(S.hash_order("1234", F.col("item_id"), F.col("shot")), "shot")
+    return pairs.withColumn("place", F.row_number().over(order)).where("place <= 5").select("item_id", "shot", F.col("place").cast("long").alias("place"))
 
 
 @query("""WITH m AS (SELECT 'battery' AS task, event_id AS key, unnest(range(0, 2)) AS copy FROM battery UNION ALL SELECT 'heldout', item_id, 0 FROM heldout)
  SELECT task, key, copy::INTEGER AS copy, row_number() OVER (ORDER BY md5('42:' || task || ':' || key || ':' || copy), task, key, copy) - 1 AS pos FROM m""")
 def interleave_tasks(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     mixed = S.interleaved({"battery": table(spark, d, "battery").withColumnRenamed("event_id", "item_id"), "heldout": table(spark, d, "heldout")}, {"battery": 2}, "item_id", "42")
     order = Window.orderBy("shuffle_key", "task", "key", "copy")  # both tables are fixed and small
     return mixed.select("task", "key", "copy", (F.row_number().over(order) - 1).cast("long").alias("pos"))
@@ -228,10 +226,10 @@ def zip_join(spark: SparkSession, d: str) -> DataFrame:
     return J.zipped(table(spark, d, "battery").select("event_id"), table(spark, d, "heldout").select("item_id"), "event_id", "item_id")
 
 
-@query("""SELECT o_orderkey, o_custkey, ts AS ts, value FROM (SELECT o_orderkey, o_custkey, o_orderdate + INTERVAL 9000 DAY AS at FROM orders WHERE o_custkey <= 150) o
+@query("""SELECT o_orderkey, o_custkey, ts AS ts, value FROM (SELECT o_orderkey, o_custkey, o_orderdate + INTERVAL 9000 DAY AS at FROM orders) o
  ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS value FROM events GROUP BY 1, 2) e ON o.o_custkey = e.user_id AND o.at >= e.ts""")
 def as_of_events(spark: SparkSession, d: str) -> DataFrame:
-    orders = table(spark, d, "orders").where("o_custkey <= 150").select("o_orderkey", "o_custkey", F.expr("o_orderdate + INTERVAL 9000 DAY").alias("at"))
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.expr("o_orderdate + INTERVAL 9000 DAY").alias("at"))
     events = table(spark, d, "events").groupBy(F.col("user_id").alias("o_custkey"), "ts").agg(F.max("value").alias("value"))
     return J.as_of(orders, events, ["o_custkey"], "at", "ts", "value").select("o_orderkey", "o_custkey", "ts", "value")
 
@@ -244,8 +242,6 @@ def year_set(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT experiment, row_number() OVER (ORDER BY CASE WHEN experiment = 'base' THEN 0 ELSE 1 END, coalesce(TRY_CAST(regexp_extract(experiment, '(\\d{4})', 1) AS INTEGER), 0), experiment) AS place FROM (SELECT DISTINCT experiment FROM train WHERE experiment IS NOT NULL)""")
 def label_sort(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     names = table(spark, d, "train").where("experiment IS NOT NULL").select("experiment").distinct()
     number = F.coalesce(F.regexp_extract("experiment", r"(\d{4})", 1).try_cast("int"), F.lit(0))
     return names.select("experiment", F.row_number().over(Window.orderBy(F.when(F.col("experiment") == "base", 0).otherwise(1), number, "experiment")).cast("long").alias("place"))

@@ -117,13 +117,13 @@ def catalog_phrases(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_PHRASES} SELECT doc_id, (SELECT min(phrase) FROM phrase WHERE contains(lower(text), phrase)) AS term FROM documents WHERE text IS NOT NULL AND EXISTS (SELECT 1 FROM phrase WHERE contains(lower(text), phrase))")
 def banned_first_term(spark: SparkSession, d: str) -> DataFrame:
-    phrases = sorted(r[0] for r in _phrases(spark, d).limit(J.MOST_PHRASES + 1).collect())
+    phrases = sorted(r[0] for r in _phrases(spark, d).collect())
     return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", J.first_phrase(F.col("text"), phrases).alias("term")).where("term IS NOT NULL")
 
 
 @query(f"WITH {_PHRASES} SELECT count(*) AS n_kept, sum(length(text))::BIGINT AS n_chars FROM documents WHERE text IS NOT NULL AND NOT EXISTS (SELECT 1 FROM phrase WHERE contains(lower(text), phrase))")
 def banned_screen(spark: SparkSession, d: str) -> DataFrame:
-    phrases = sorted(r[0] for r in _phrases(spark, d).limit(J.MOST_PHRASES + 1).collect())
+    phrases = sorted(r[0] for r in _phrases(spark, d).collect())
     kept = table(spark, d, "documents").where(F.col("text").isNotNull()).where(J.first_phrase(F.col("text"), phrases).isNull())
     return kept.agg(F.count("*").alias("n_kept"), F.sum(F.length("text")).alias("n_chars"))
 

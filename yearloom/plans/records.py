@@ -18,10 +18,10 @@ def label_decode(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", R.decoded_label(F.col("label")).alias("letter"))
 
 
-@query("SELECT o_orderkey, 5 AS n, CAST(o_custkey AS VARCHAR) AS first_value FROM orders WHERE o_orderstatus = 'F'")
+@query("SELECT o_orderkey, 5 AS n, CAST(o_custkey AS VARCHAR) AS first_value FROM orders")
 def options_parse(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.lit("a ) "), "o_custkey", F.lit(" , b ) 2 , c ) "), "o_orderkey", F.lit(" , d ) 4 , e ) none"))
-    made = table(spark, d, "orders").where("o_orderstatus = 'F'").select("o_orderkey", R.options(text).alias("v"))
+    made = table(spark, d, "orders").select("o_orderkey", R.options(text).alias("v"))
     return made.select("o_orderkey", F.size("v").alias("n"), F.col("v")[0].alias("first_value"))
 
 
@@ -32,10 +32,10 @@ def two_records(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "battery").select("event_id", F.explode(pair).alias("r")).select("event_id", "r.*")
 
 
-@query("SELECT o_orderkey, CAST(o_custkey + 1 AS VARCHAR) AS last_result, 2 AS n_tags FROM orders WHERE o_orderkey % 3 = 0")
+@query("SELECT o_orderkey, CAST(o_custkey + 1 AS VARCHAR) AS last_result, 2 AS n_tags FROM orders")
 def calculator_tags(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.lit("so <<"), "o_orderkey", F.lit("*1="), "o_orderkey", F.lit(">> then <<"), "o_custkey", F.lit("+1="), F.col("o_custkey") + 1, F.lit(">> done"))
-    made = table(spark, d, "orders").where("o_orderkey % 3 = 0").select("o_orderkey", R.calculator_results(text).alias("v"))
+    made = table(spark, d, "orders").select("o_orderkey", R.calculator_results(text).alias("v"))
     return made.select("o_orderkey", F.element_at("v", -1).alias("last_result"), F.size("v").alias("n_tags"))
 
 
@@ -45,11 +45,13 @@ def congress_years(spark: SparkSession, d: str) -> DataFrame:
     return years.select("year", R.congress(F.col("year")).alias("congress"), R.edition(F.col("year")).alias("edition"), "n")
 
 
-@query("""WITH p AS (SELECT pos, row_number() OVER (ORDER BY pos) - 1 AS step FROM (SELECT DISTINCT pos FROM train WHERE pos BETWEEN 0 AND 999))
- SELECT pos, round(CASE WHEN pos < 30 THEN 0.001 * (pos + 1) / 30 ELSE 0.001 * (0.1 + 0.9 * 0.5 * (1 + cos(3.141592653589793 * least(1.0, (pos - 30) / 970.0)))) END, 9) AS rate FROM p""")
+@query("""WITH t AS (SELECT max(pos) + 1 AS total, greatest(1.0, floor((max(pos) + 1) * 0.03::DOUBLE + 0.5)) AS warm FROM train), p AS (SELECT DISTINCT pos FROM train WHERE pos IS NOT NULL)
+ SELECT pos, round(CASE WHEN pos < warm THEN 0.001::DOUBLE * (pos + 1) / warm ELSE 0.001::DOUBLE * (0.1::DOUBLE + 0.9::DOUBLE * 0.5::DOUBLE * (1 + cos(3.141592653589793::DOUBLE * least(1.0, (pos - warm) / greatest(1.0, total - warm))))) END, 9) AS rate FROM p, t""")
 def learning_rates(spark: SparkSession, d: str) -> DataFrame:
-    steps = table(spark, d, "train").where("pos BETWEEN 0 AND 999").select("pos").distinct()
-    return steps.select("pos", F.round(R.learning_rate(F.col("pos"), 1000, 0.001), 9).alias("rate"))
+    """The rate at every position that a row of train stands at; the schedule ends with the last one."""
+    steps = table(spark, d, "train").where("pos IS NOT NULL").select("pos").distinct()
+    total = table(spark, d, "train").agg((F.max("pos") + 1).alias("total"))
+    return steps.join(F.broadcast(total)).select("pos", F.round(R.learning_rate(F.col("pos"), F.col("total"), 0.001), 9).alias("rate"))
 
 
 @query("""WITH c AS (SELECT user_id, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) SELECT user_id, k AS step, event_id FROM c WHERE k IN (5, 10, 20, 40)""")
@@ -64,12 +66,12 @@ def letter_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", R.letter_count(F.col("p_name"), "e").alias("n_letters"), R.slug(F.col("p_name")).alias("slug"))
 
 
-_TOK = "tok AS (SELECT item_id, string_split(question, ' ') AS t, lead(string_split(question, ' ')) OVER (ORDER BY item_id) AS u FROM heldout WHERE item_id LIKE 'arc%')"
+_TOK = "tok AS (SELECT item_id, string_split(question, ' ') AS t, lead(string_split(question, ' ')) OVER (ORDER BY item_id) AS u FROM heldout)"
 
 
 @query(f"WITH {_TOK} SELECT item_id, CAST(coalesce(list_position(list_transform(range(1, least(len(t), len(u)) + 1), lambda i: t[i] <> u[i]), true) - 1, least(len(t), len(u))) AS INTEGER) AS n_common, CAST(len(t[-8:]) AS INTEGER) AS n_crop FROM tok WHERE u IS NOT NULL")
 def prefix_and_crop(spark: SparkSession, d: str) -> DataFrame:
-    items = table(spark, d, "heldout").where(F.col("item_id").startswith("arc")).select("item_id", F.split("question", " ").alias("t"))
+    items = table(spark, d, "heldout").select("item_id", F.split("question", " ").alias("t"))
     paired = items.withColumn("u", F.lead("t").over(Window.orderBy("item_id"))).where("u IS NOT NULL")
     return paired.select("item_id", R.common_prefix(F.col("t"), F.col("u")).alias("n_common"), F.size(R.cropped(F.col("t"), 8)).alias("n_crop"))
 

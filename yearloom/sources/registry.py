@@ -106,11 +106,12 @@ def floor_speeches(spark: SparkSession, folder: str, wanted: Wanted) -> DataFram
     """Pipe text, descr_*.txt and speeches_*.txt of the same session: the index is filtered, then the speeches join it."""
     session = F.regexp_extract(F.col("_metadata.file_name"), r"_(\d+)\.txt$", 1)
     part = F.split("value", r"\|")
-    lines = spark.read.option("pathGlobFilter", "descr_*.txt").text(folder).select(session.alias("session"), part.alias("p"), F.col("_metadata.file_block_start").alias("at"))
+    lines = spark.read.option("pathGlobFilter", "descr_*.txt").text(folder).select(session.alias("session"), part.alias("p"), F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"))
     index = lines.where((F.size("p") >= 14) & F.col("p")[2].rlike(r"^\d{4}")).select(
-        "session", F.col("p")[0].alias("doc_id"), F.substring(F.col("p")[2], 1, 4).cast("int").alias("year"), F.col("p")[13].try_cast("int").alias("word_count")
+        "session", "at", F.col("p")[0].alias("doc_id"), F.substring(F.col("p")[2], 1, 4).cast("int").alias("year"), F.col("p")[13].try_cast("int").alias("word_count")
     )
-    index = index.groupBy("session", "doc_id").agg(F.max("year").alias("year"), F.max("word_count").alias("word_count"))
+    # Of lines with the same id the last one counts.
+    index = index.groupBy("session", "doc_id").agg(F.max_by(F.struct("year", "word_count"), "at").alias("last")).select("session", "doc_id", "last.*")
     index = index.where(F.col("word_count") >= max(200, wanted.least_words))
     said = spark.read.option("pathGlobFilter", "speeches_*.txt").text(folder).where(F.col("value").contains("|")).select(
         session.alias("session"), F.substring_index("value", "|", 1).alias("doc_id"), F.regexp_replace("value", r"^[^|]*\|", "").alias("text")

@@ -19,8 +19,8 @@ def write_parquet(df: DataFrame, path: str, force: bool = False) -> None:
 
 def write_records(df: DataFrame, folder: str, status: str) -> None:
     """Rows of status ok to records, all others with their status to failures; both as JSON lines."""
-    df.where(F.col(status) == "ok").drop(status).write.mode("overwrite").json(f"{folder}/records")
-    df.where(F.col(status) != "ok").write.mode("overwrite").json(f"{folder}/failures")
+    df.where(F.col(status) == "ok").drop(status).write.mode("overwrite").option("ignoreNullFields", False).json(f"{folder}/records")
+    df.where(F.col(status) != "ok").write.mode("overwrite").option("ignoreNullFields", False).json(f"{folder}/failures")
 
 
 def write_tidy(df: DataFrame, path: str, columns: list[str], digits: int = 6) -> None:
