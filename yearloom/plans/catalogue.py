@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from yearloom.plans import assembly, chat, corpus, evaluation, panel, records, streams  # noqa: F401
+from yearloom.plans import assembly, chat, corpus, evaluation, evaluators, panel, records, replies, streams  # noqa: F401
 from yearloom.plans.registry import QUERIES, SQL, Query
 
 
