@@ -158,19 +158,18 @@ def common_keys(texts: DataFrame, sample: int = SAMPLE) -> DataFrame:
 def candidates(texts: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Distinct pairs (a, b), a < b, of fingerprints that share a key and have signatures close enough.
 
-    All rows go through one shuffle. Rows of a common key are dealt into its blocks, once for each block they meet; a cell is
-    such a pair of blocks (0 if the key is not common), and side is 0 where a block meets itself, else 1 or 3.
+    All rows go through one shuffle. Rows of a common key are dealt into its blocks, and for each pair of blocks the two share a
+    key of their own, so a row goes out once for each block.
     """
     common = F.broadcast(common_keys(texts, sample))
     keyed = texts.select("fp", "text").mapInPandas(_sketches, KEYED).join(common, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     mine, other = F.pmod(F.xxhash64("fp"), "blocks"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     dealt = keyed.withColumn("mine", mine).withColumn("other", other)
-    cell = F.least("mine", "other") * 2**31 + F.greatest("mine", "other")
-    side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(3)
-    dealt = dealt.select("key", cell.cast("long").alias("cell"), side.alias("side"), "fp", "sign", "more").repartition("key", "cell").distinct()
-    one, two = (dealt.select("key", "cell", *[F.col(c).alias(f"{c}_{x}") for c in ("side", "fp", "sign", "more")]) for x in "ab")
-    # Conditions on both sides at once are not pushed below the shuffle, so both sides share it.
-    met = one.join(two, ["key", "cell"]).where("fp_a < fp_b AND side_a + side_b IN (0, 4)")
+    cell = F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")))
+    dealt = dealt.select(cell.alias("cell"), "fp", "sign", "more").repartition("cell").distinct()
+    one, two = (dealt.select("cell", *[F.col(c).alias(f"{c}_{x}") for c in ("fp", "sign", "more")]) for x in "ab")
+    # A condition on both sides at once is not pushed below the shuffle, so both sides share it.
+    met = one.join(two, "cell").where("fp_a < fp_b")
     apart = F.bit_count(F.col("sign_a").bitwiseXOR(F.col("sign_b"))) + F.bit_count(F.col("more_a").bitwiseXOR(F.col("more_b")))
     return met.where(apart <= 128 - AGREEING).select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).repartition("a").distinct()
 
@@ -195,10 +194,10 @@ def banded(pairs: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
 
 
 class _Read:
-    """What verification needs of a text, made once for all its pairs: word numbers and distinct sequences of three."""
+    """What verification needs of a text's words, made once for all its pairs: word numbers and distinct sequences of three."""
 
     def __init__(self, text: str, number: dict[str, int]) -> None:
-        self.words = np.array([number.setdefault(w, len(number)) for w in WORD.findall(text.lower())], np.int32)
+        self.words = np.array([number.setdefault(w, len(number)) for w in text.split()], np.int32)
 
     def index(self, base: int) -> None:
         """Word numbers lie below base, so the codes are exact as long as they fit."""
@@ -237,8 +236,9 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _bodies(texts: DataFrame, fps: DataFrame) -> DataFrame:
-    """fp and text of the wanted fingerprints, each once."""
-    return texts.select("fp", "text").join(fps.select("fp").distinct(), "fp", "left_semi").dropDuplicates(["fp"])
+    """fp and the words of the text, a blank between them, of the wanted fingerprints, each once."""
+    words = F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "))
+    return texts.select("fp", words.alias("text")).join(fps.select("fp").distinct(), "fp", "left_semi").dropDuplicates(["fp"])
 
 
 def similar_texts(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
@@ -254,7 +254,7 @@ def linked(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     many = members.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
     pairs = cut_lineage(candidates(texts))
     bodies = _bodies(texts, pairs.select(F.explode(F.array("a", "b")).alias("fp")).unionByName(many))
-    length = F.size(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)")))
+    length = F.size(F.split("text", " "))
     held = bodies.join(many, "fp", "left_semi").where(length >= LEAST_WORDS).select("fp")
     return members, similar_texts(pairs, bodies), held
 
