@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def cells_for(df: DataFrame, rows: int = 500_000, least: int = 64) -> int:
+    """Cells so that none holds many more than `rows` rows, whatever the number of rows; df is counted, so it should be cheap to read."""
+    return max(least, -(-df.count() // rows))
+
+
 def spread_rank(df: DataFrame, keys: list[str], order: Column, weight: Column | None = None, cells: int = 64, into: str = "rank") -> DataFrame:
     """Adds a 0-based rank inside the groups of keys and, with a weight, the sum of the weights before the row.
 
