@@ -315,6 +315,9 @@ def test_leaks_equal_brute_force(spark):
     body = dict(texts)
     for r in found.where("row_id < 60").collect():
         assert len(words(body[r.row_id][r.start : r.end])) == r.n_words >= 12
+    shifted = spark.createDataFrame([(1, "İİİ — " + items[3][1].upper())], "k long, body string")
+    [hit] = leakage.leaked_passages(leakage.corpus("t", shifted, "k", "body"), items_df).collect()
+    assert (hit.start, hit.end) == (6, 6 + len(items[3][1]) - 1)
     assert leakage.leaked_passages(corpus.limit(0), items_df).count() == 0
     assert leakage.leaked_passages(corpus, items_df.limit(0)).count() == 0
 

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from yearloom.session import cut_lineage
+
 #: A word is a maximal run of a-z and digits in the lower-cased text.
 WORD = re.compile(r"[a-z0-9]+")
 N_WORDS = 12
@@ -93,12 +95,20 @@ def leaked_passages(corpus: DataFrame, items: DataFrame, n_words: int = N_WORDS,
                             hits.setdefault(owner, []).append(end)
                     if hits:
                         spans = [m.span() for m in WORD.finditer(lowered)]
-                        # Lower-casing changes the length of very few letters; then offsets count lower-cased characters.
+                        if len(lowered) != len(body):
+                            # A few letters become two when lower-cased; each of them leads back to its letter.
+                            back = [i for i, letter in enumerate(body) for _ in letter.lower()]
+                            spans = [(back[a], back[b - 1] + 1) for a, b in spans]
                         for owner, ends in hits.items():
                             out += [(tab, row, owner, spans[a][0], spans[b][1], b - a + 1) for a, b in _runs(ends, n_words)]
                 yield pd.DataFrame(out, columns=["tab", "row_id", "item_id", "start", "end", "n_words"])
 
-        parts.append(source.mapInPandas(scan, HITS))
+        hits = source.mapInPandas(scan, HITS)
+        if blocks > 1:
+            # One block at a time: its hits are written before the next block's items are read.
+            hits = cut_lineage(hits)
+            shared.destroy()
+        parts.append(hits)
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)

@@ -9,7 +9,7 @@ gives the positions.
 The budget is the largest at which every source that has documents reaches its share within its cap on repeats.
 
 Defined cases: documents without tokens and sources without a target are left out; a document delivered again counts
-once; a target source without documents, with a null or negative share or no allowed use gets nothing, is reported
+once, if with another text then with the shorter one; a target source without documents, with a null or negative share or no allowed use gets nothing, is reported
 with an actual share of 0, and the shares of the others are scaled to sum to 1; a null max_repeats means 1.
 """
 
@@ -18,19 +18,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from yearloom.operators.ranking import spread_rank
+from yearloom.operators.ranking import cells_for, spread_rank
 from yearloom.session import cut_lineage
 
 #: How far the weights move: part of the greatest move at which none is negative.
 MOVE = 0.5
-#: Ranges of training time that are sorted side by side.
-RANGES = 256
 
 
 def sized(documents: DataFrame, doc_id: str, source: str, size: Column) -> DataFrame:
     """doc_id, source, n_tokens of the documents that have tokens, each once."""
     rows = documents.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(source), F.lit("(none)")).alias("source"), size.cast("long").alias("n_tokens"))
-    return rows.where("n_tokens > 0").dropDuplicates(["doc_id"])
+    return rows.where("n_tokens > 0").groupBy("doc_id").agg(F.min(F.struct("n_tokens", "source")).alias("d")).select("doc_id", "d.source", "d.n_tokens")
 
 
 def demands(sized: DataFrame, targets: DataFrame, budget: int | None = None, move: float = MOVE) -> DataFrame:
@@ -66,7 +64,7 @@ def mixed(sized: DataFrame, targets: DataFrame, budget: int | None = None) -> Da
     """mix_name, doc_id, source, repeat_no, n_tokens, training_time, position of every chosen copy."""
     sized = cut_lineage(sized)
     want = demands(sized, targets, budget).where("demand > 0")
-    before = spread_rank(sized, ["source"], F.col("doc_id"), weight=F.col("n_tokens"), cells=RANGES)
+    before = spread_rank(sized, ["source"], F.col("doc_id"), weight=F.col("n_tokens"), cells=cells_for(sized))
     copies = before.join(want, "source")
     middle = F.col("rank_sum") + F.col("n_tokens") / 2
     last = F.floor((F.col("demand") - middle) / F.col("supply")).cast("int")
@@ -74,8 +72,9 @@ def mixed(sized: DataFrame, targets: DataFrame, budget: int | None = None) -> Da
     copies = copies.withColumn("repeat_no", F.explode(F.sequence(F.lit(0), F.col("last"))))
     copies = copies.withColumn("training_time", _time(F.col("repeat_no") * F.col("supply") + middle))
     copies = copies.select("mix_name", "doc_id", "source", "repeat_no", "n_tokens", "training_time")
-    # Range sort: equal ranges of time hold about equal tokens, whatever the source.
-    ranged = copies.withColumn("_range", F.least(F.floor(F.col("training_time") * RANGES), F.lit(RANGES - 1)))
+    # Range sort: equal ranges of time hold about equal tokens, whatever the source. A document is used a few times at most.
+    ranges = cells_for(sized)
+    ranged = copies.withColumn("_range", F.least(F.floor(F.col("training_time") * ranges), F.lit(ranges - 1)))
     earlier = Window.partitionBy("mix_name").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranged.groupBy("mix_name", "_range").agg(F.count("*").alias("_n")).withColumn("_n", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
     inside = Window.partitionBy("mix_name", "_range").orderBy("training_time", "source", "doc_id", "repeat_no")

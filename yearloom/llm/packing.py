@@ -21,15 +21,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from yearloom.operators.ranking import spread_rank
+from yearloom.operators.ranking import cells_for, spread_rank
 from yearloom.session import cut_lineage
 
 #: Gaps over the least number of containers (all tokens by the capacity) that are tried, and rounds of the weights for each.
 GAPS, ROUNDS = tuple(0.001 * 2**k for k in range(12)), 60
 #: Share of the need of every length that a solution covers, times that the program is solved, and containers drawn a length.
 COVERED, PASSES, DRAWS = 0.99, 6, 2
-#: Specs of one call; every item is looked at for each.
-MOST_SPECS = 100
+#: Specs that are packed in one pass; more make more passes over the lengths.
+SPECS_AT_ONCE = 100
 SLOTS = "spec_name string, config long, copies long, base long, size long, per long, skip long, start long"
 
 
@@ -173,15 +173,23 @@ def packed(items: DataFrame, specs: DataFrame, item_id: str, size: Column) -> Da
     specs: spec_name, capacity_tokens. Containers are numbered from 1 within a spec.
     """
     lengths = cut_lineage(items.select(F.col(item_id).alias("item_id"), size.cast("long").alias("length")).distinct())
-    stated = specs.where("capacity_tokens > 0").select("spec_name", F.col("capacity_tokens").cast("long")).distinct().limit(MOST_SPECS + 1).collect()
-    if len(stated) > MOST_SPECS:
-        raise ValueError(f"more than {MOST_SPECS} specs; pack them in several calls")
+    stated = sorted(tuple(r) for r in specs.where("capacity_tokens > 0").select("spec_name", F.col("capacity_tokens").cast("long")).distinct().collect())
+    parts = [_packed(lengths, stated[at : at + SPECS_AT_ONCE]) for at in range(0, max(1, len(stated)), SPECS_AT_ONCE)]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
+def _packed(lengths: DataFrame, stated: list[tuple[str, int]]) -> DataFrame:
+    """The pieces of some specs, each as (spec_name, capacity)."""
+    cells = cells_for(lengths)
     spec = F.array(*[F.struct(F.lit(n).alias("spec_name"), F.lit(c).alias("capacity")) for n, c in stated]).cast("array<struct<spec_name: string, capacity: bigint>>")
     each = lengths.withColumn("spec", F.explode(spec)).select("item_id", "length", "spec.*").withColumn("full", F.expr("CASE WHEN length > capacity THEN length DIV capacity ELSE 0 END"))
     each = each.withColumn("size", F.col("length") - F.col("full") * F.col("capacity"))
     nothing = each.where("length = 0").select("spec_name", "item_id", F.lit(0).cast("long").alias("piece"), F.lit(0).cast("long").alias("container"), F.lit(0).cast("long").alias("position"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("n_tokens"))
     # Whole containers of texts above the capacity: numbered by running sums.
-    over = spread_rank(each.where("full > 0").select("spec_name", "item_id", "capacity", "full"), ["spec_name"], F.col("item_id"), weight=F.col("full"))
+    over = spread_rank(each.where("full > 0").select("spec_name", "item_id", "capacity", "full"), ["spec_name"], F.col("item_id"), weight=F.col("full"), cells=cells)
     whole = over.withColumn("piece", F.explode(F.expr("sequence(0L, full - 1)")))
     whole = whole.select("spec_name", "item_id", "piece", (F.col("rank_sum") + F.col("piece") + 1).alias("container"), F.lit(0).cast("long").alias("position"), F.lit(0).cast("long").alias("start"), F.col("capacity").alias("n_tokens"))
     rest = each.where("size > 0")
@@ -190,7 +198,7 @@ def packed(items: DataFrame, specs: DataFrame, item_id: str, size: Column) -> Da
     histogram = rest.groupBy("spec_name", "capacity", "size").agg(F.count("*").alias("n")).join(ahead, "spec_name")
     plan = cut_lineage(histogram.groupBy("spec_name").applyInPandas(_plan, SLOTS + ", low long"))
     slots = plan.groupBy("spec_name", "size").agg(F.sort_array(F.collect_list(F.struct("low", "copies", "base", "per", "skip", "start"))).alias("slots"))
-    ranked = spread_rank(rest.select("spec_name", "item_id", "size", "full"), ["spec_name", "size"], F.col("item_id"))
+    ranked = spread_rank(rest.select("spec_name", "item_id", "size", "full"), ["spec_name", "size"], F.col("item_id"), cells=cells)
     # The slots of a length, at most one for each configuration, ascend by `low`; the last that is not above the rank holds it.
     placed = ranked.join(slots, ["spec_name", "size"]).withColumn("s", F.expr("element_at(filter(slots, s -> s.low <= rank), -1)"))
     nth = F.expr("(rank - s.low) DIV s.per")
