@@ -87,6 +87,92 @@ def test_packed_sequences_cover_whole_sequences(spark):
     assert chat.packed_sequences(docs.limit(0), "d", "n", 8).count() == 0
 
 
+def test_overlapping_sequences_share_one_token(spark):
+    sizes = [3, 0, 17, 5, 9, 30, 1, 1]
+    docs = spark.createDataFrame(list(enumerate(sizes)), "d int, n int")
+    tokens = [(d, i) for d, n in enumerate(sizes) for i in range(n + 1)]
+    made = {}
+    for r in chat.packed_sequences(docs, "d", "n", 8, overlap=1).collect():
+        for k in range(r.n):
+            made[r.seq_id, r.offset + k] = (r.d, r.first + k)
+    whole = (len(tokens) - 1) // 8
+    assert made == {(s, k): tokens[8 * s + k] for s in range(whole) for k in range(9)}
+
+
+def test_positions_by_digest_equal_one_window(spark):
+    df = spark.range(3000).selectExpr("id", "IF(id % 3 = 0, 'hot', IF(id % 7 = 0, NULL, CAST(id % 5 AS STRING))) AS g", "1 AS pos_extra")
+    digest = selection.hash_order("s", F.col("id"))
+    rows = selection.hash_position(df, ["g"], digest, [F.col("id")], digits=1).collect()
+    import hashlib
+
+    by = {}
+    for r in rows:
+        by.setdefault(r.g, []).append(r)
+    for own in by.values():
+        own.sort(key=lambda r: hashlib.md5(f"s:{r.id}".encode()).hexdigest())
+        assert [r.pos for r in own] == list(range(len(own)))
+    assert len(rows) == 3000 and selection.hash_position(df.limit(0), ["g"], digest, [F.col("id")]).count() == 0
+
+
+def test_any_number_of_phrases(spark):
+    phrases = [f"phrase {i}x" for i in range(3000)]
+    df = spark.createDataFrame([("a Phrase 2999X here",), ("phrase 17x and phrase 5x",), ("none",), (None,), ("",)], "t string")
+    for block in (50_000, 700):
+        assert [r[0] for r in df.select(joins.first_phrase(F.col("t"), phrases, block)).collect()] == ["phrase 2999x", "phrase 5x", None, None, None]
+    assert df.select(joins.first_phrase(F.col("t"), [])).first()[0] is None
+
+
+def test_components_that_do_not_settle_are_an_error(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        graph.connected_components(chain, most_rounds=2)
+
+
+def test_long_records_are_validated_to_the_end(spark):
+    turns = [(1, 0, "system", "s")] + [(1, i, "user" if i % 2 else "assistant", "x") for i in range(1, 10_051)]
+    df = spark.createDataFrame(turns + [(2, *t[1:]) for t in turns[:-1]] + [(2, 10_050, "user", "x")], "r int, t int, role string, c string")
+    got = {r.r: r.s for r in chat.messages(df, "r", "t", "role", "c").select("r", chat.conversation_status(F.col("messages")).alias("s")).collect()}
+    assert got == {1: "ok", 2: "bad_roles"}
+
+
+def test_evaluators_by_name(spark):
+    from yearloom.operators import evaluators
+
+    assert set(evaluators.names()) == {"policy_battery", "policy_battery_variants", "gsm8k", "policy_probe", "choice", "core_task"}
+    with pytest.raises(KeyError):
+        evaluators.get("nothing")
+    items = spark.createDataFrame([("a", "#### 1,234.50"), ("b", "#### 7"), ("c", None)], "item_id string, expected string")
+    replies = spark.createDataFrame([("a", "#### 2 no, #### 1234.5"), ("z", "#### 7")], "item_id string, reply string")
+    assert tuple(evaluators.get("gsm8k")(items, replies).first()) == (2, 1, 0.5)
+    assert evaluators.get("gsm8k")(items.limit(0), replies).first().accuracy == 0.0
+    scores = spark.createDataFrame([("p", 1, [0.0, 0.0], [1.0] * 5), ("p", 1, [0.0, 0.0], None), ("q", 1, None, None)], "event_id string, m int, yes_no array<double>, scale array<double>")
+    rows = {r.event_id: r for r in evaluators.get("policy_battery_variants")(spark.createDataFrame([("p",), ("q",), ("r",)], "event_id string"), scores, ["m"]).collect()}
+    assert (rows["p"].mean_p_yes, rows["p"].std_p_yes, rows["p"].n_variants, rows["p"].mean_score) == (0.5, 0.0, 2, 0.0) and rows["q"].mean_p_yes is None and "r" not in rows
+    losses = spark.createDataFrame([("a", [[9.0, 1.0, 1.0], [0.0, 2.0]], 1)], "item_id string, losses array<array<double>>, start int")
+    asked = spark.createDataFrame([("a", "A")], "item_id string, expected string")
+    assert evaluators.get("core_task")(asked, losses).first().accuracy == 1.0
+
+
+def test_reply_forms(spark):
+    replies = ['{"ideas": [{"doc_type": "memo", "concept": "c"}, {"doc_type": "memo"}, {"doc_type": " ", "concept": "c"}]}', '```json\n[{"doc_type": "d", "concept": "e", "tone": "dry"}]\n```', "no json", None, "[]"]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(replies)], "k int, r string")
+    got = {r.k: [tuple(i) for i in r.v] if r.v is not None else None for r in df.select("k", parsing.ideas(F.col("r")).alias("v")).collect()}
+    assert got[0] == [("memo", "c", "")] and got[1] == [("d", "e", "dry")] and not got[2] and got[3] is None and got[4] == []
+    one = spark.createDataFrame([('{"text": "a"}',), ('"b\\n"',), ('{"other": 1}',), ("",), (None,)], "r string").select(parsing.single_document(F.col("r"))).collect()
+    assert [r[0] for r in one] == ["a", "b\n", None, None, None]
+    made = spark.createDataFrame([('{"data": [{"question": "q", "answer": "#### 1"}, {"question": "q", "answer": "1"}]}', '{"variants": [" a ", "", "b"]}')], "p string, v string")
+    row = made.select(parsing.problems(F.col("p")), parsing.variants(F.col("v"))).first()
+    assert [tuple(x) for x in row[0]] == [("q", "#### 1")] and row[1] == ["a", "b"]
+
+
+def test_state_keeps_the_latest_row(spark):
+    from yearloom.streaming import windows
+
+    old = spark.createDataFrame([(1, "a", 5), (2, "b", 5)], "k int, v string, at int")
+    new = spark.createDataFrame([(1, "late", 4), (2, "c", 6), (3, "d", 1)], "k int, v string, at int")
+    assert {(r.k, r.v) for r in windows.upsert_state(old, new, "k", ["at"]).collect()} == {(1, "a"), (2, "c"), (3, "d")}
+
+
 def test_joins(spark):
     left = spark.createDataFrame([(1, "a", 5), (2, "a", 1), (3, "b", 9)], "k int, g string, at int")
     right = spark.createDataFrame([("a", 2, 20), ("a", 5, 50), ("c", 1, 1)], "g string, t int, v int")

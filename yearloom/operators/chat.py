@@ -56,14 +56,17 @@ def running_start(df: DataFrame, order: str, size: str, into: str = "start") ->
     return celled.withColumn("_inside", inside).join(totals, "_cell").withColumn(into, (F.col("_before") + F.col("_inside")).cast("long")).drop("_cell", "_inside", "_before")
 
 
-def packed_sequences(documents: DataFrame, order: str, n_tokens: str, seq_len: int) -> DataFrame:
-    """Pieces of documents in sequences of seq_len tokens, one separator after each document; the incomplete tail goes.
+def packed_sequences(documents: DataFrame, order: str, n_tokens: str, seq_len: int, overlap: int = 0) -> DataFrame:
+    """Pieces of documents in sequences of seq_len + overlap tokens that begin every seq_len tokens; the incomplete tail goes.
 
-    Columns: order, seq_id, first token of the piece in the document, offset in the sequence, tokens.
+    One separator stands after each document. With an overlap of 1 a sequence ends with the first token of the next one,
+    so inputs and targets are read from the same row. Columns: order, seq_id, first token of the piece in the document,
+    offset in the sequence, tokens.
     """
     placed = running_start(documents.withColumn("_len", F.col(n_tokens) + 1), order, "_len")
-    total = placed.agg(F.expr(f"coalesce(sum(_len), 0) DIV {seq_len}").alias("_full"))
-    spread = placed.withColumn("seq_id", F.explode(F.expr(f"sequence(start DIV {seq_len}, (start + _len - 1) DIV {seq_len})")))
-    lo, hi = F.greatest(F.col("start"), F.col("seq_id") * seq_len), F.least(F.col("start") + F.col("_len"), (F.col("seq_id") + 1) * seq_len)
-    kept = spread.join(F.broadcast(total)).where(F.col("seq_id") < F.col("_full"))
+    total = placed.agg(F.expr(f"greatest(0L, (coalesce(sum(_len), 0) - {overlap})) DIV {seq_len}").alias("_full"))
+    first_seq = f"greatest(0L, start - {overlap}) DIV {seq_len}"
+    spread = placed.withColumn("seq_id", F.explode(F.expr(f"sequence({first_seq}, (start + _len - 1) DIV {seq_len})")))
+    lo, hi = F.greatest(F.col("start"), F.col("seq_id") * seq_len), F.least(F.col("start") + F.col("_len"), (F.col("seq_id") + 1) * seq_len + overlap)
+    kept = spread.join(F.broadcast(total)).where((F.col("seq_id") < F.col("_full")) & (lo < hi))
     return kept.select(order, "seq_id", (lo - F.col("start")).alias("first"), (lo - F.col("seq_id") * seq_len).alias("offset"), (hi - lo).alias("n"))

@@ -60,6 +60,14 @@ def pack_tokens(spark: SparkSession, d: str) -> DataFrame:
     return C.packed_sequences(_counted(spark, d), "doc_id", "n_tokens", 512)
 
 
+@query(f"""WITH {_DOC}, st AS (SELECT doc_id, n_tokens + 1 AS len, (sum(n_tokens + 1) OVER (ORDER BY doc_id) - n_tokens - 1)::BIGINT AS start FROM doc), tot AS (SELECT ((sum(len) - 1) // 512)::BIGINT AS whole FROM st),
+ sp AS (SELECT doc_id, start, len, unnest(range(greatest(start - 1, 0) // 512, (start + len - 1) // 512 + 1)) AS seq_id FROM st)
+ SELECT doc_id, seq_id, greatest(start, seq_id * 512) - start AS first, greatest(start, seq_id * 512) - seq_id * 512 AS "offset", least(start + len, seq_id * 512 + 513) - greatest(start, seq_id * 512) AS n FROM sp, tot WHERE seq_id < whole AND greatest(start, seq_id * 512) < least(start + len, seq_id * 512 + 513)""")
+def pack_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Sequences of 513 tokens every 512, the last token being the next one's first."""
+    return C.packed_sequences(_counted(spark, d), "doc_id", "n_tokens", 512, overlap=1)
+
+
 @query(f"""WITH {_DOC}, st AS (SELECT doc_id, n_tokens + 1 AS len, sum(n_tokens + 1) OVER (ORDER BY doc_id) - n_tokens - 1 AS start FROM doc)
  SELECT (start // 4096)::BIGINT AS batch, count(*) AS n_docs, sum(len)::BIGINT AS n_tokens FROM st GROUP BY 1""")
 def pack_stride(spark: SparkSession, d: str) -> DataFrame:

@@ -51,3 +51,18 @@ def stream_static_join(spark: SparkSession, d: str) -> DataFrame:
 def batch_state(spark: SparkSession, d: str) -> DataFrame:
     replies = table(spark, d, "run").where(F.lower(F.trim("role")) == "assistant")
     return replies.groupBy("year").agg(F.count("*").alias("n_requests"), F.count("content").alias("n_answered")).withColumn("status", F.when(F.col("n_answered") == F.col("n_requests"), "completed").otherwise("partial"))
+
+
+@query("""WITH w AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2)
+ SELECT * FROM w WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 DAY FROM events)""")
+def stream_closed_days(spark: SparkSession, d: str) -> DataFrame:
+    """Days that the watermark has passed, each given out once and then forgotten; the last two days stay open."""
+    made = S.run_available(S.windowed(S.event_stream(spark, d, "events"), "ts", ["event_type"], "1 day", late="2 days"), "append")
+    return made.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
+
+
+@query("SELECT msg_id, arg_max(role, ingested_at) AS role, max(ingested_at) AS ingested_at FROM run GROUP BY msg_id")
+def stream_state(spark: SparkSession, d: str) -> DataFrame:
+    """The latest delivery of each message in a state table."""
+    messages = S.event_stream(spark, d, "run").select("msg_id", "role", "ingested_at")
+    return S.kept_state(messages, "msg_id", ["ingested_at"])

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,13 +68,29 @@ def first_deliveries(events: DataFrame, at: str, key: str, late: str) -> DataFra
 
 def year_buckets(events: DataFrame, year: str) -> DataFrame:
     """Rows by year, late rows included: state is one row a year, so nothing needs to be evicted."""
-    return events.groupBy(year).agg(F.count("*").alias("n"), F.approx_count_distinct("key").alias("n_keys") if "key" in events.columns else F.count("*").alias("n_keys"))
+    return events.groupBy(year).agg(F.count("*").alias("n"))
 
 
-def upsert_state(state: DataFrame, updates: DataFrame, key: str, order: str) -> DataFrame:
-    """The latest row of each key of a state table and its updates."""
+def upsert_state(state: DataFrame, updates: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The latest row of each key of a state table and its updates; an older update changes nothing."""
     both = state.unionByName(updates, allowMissingColumns=True)
-    return both.groupBy(key).agg(F.max_by(F.struct(*[c for c in both.columns if c != key]), order).alias("s")).select(key, "s.*")
+    return both.groupBy(key).agg(F.max_by(F.struct(*[c for c in both.columns if c != key]), F.struct(*order)).alias("s")).select(key, "s.*")
 
 
-Batch = Callable[[DataFrame, int], None]
+def kept_state(stream: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Runs a stream over all that is there into a state table with one row a key, and returns the table.
+
+    Each micro-batch writes a new version from the one before it, under its number: a batch that is run again after a failure
+    replaces its own version, so the table is right whatever was lost.
+    """
+    spark, folder = stream.sparkSession, _folder(stream.sparkSession)
+
+    def merge(batch: DataFrame, number: int) -> None:
+        before = spark.createDataFrame([], stream.schema) if number == 0 else spark.read.schema(stream.schema).parquet(f"{folder}/version/{number - 1}")
+        upsert_state(before, batch, key, order).select(*stream.columns).write.mode("overwrite").parquet(f"{folder}/version/{number}")
+        merged.append(number)
+
+    merged: list[int] = []
+    query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/version/{max(merged)}") if merged else spark.createDataFrame([], stream.schema)
