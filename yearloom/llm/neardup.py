@@ -42,7 +42,7 @@ SAMPLE, COMMON, LEAST = 64, 20_000, 8
 #: Rows of a common key that are compared in one go.
 BLOCK = 1024
 #: Half the width of an alignment band.
-BAND = 16
+BAND = 8
 #: Characters of the texts that are verified together.
 CHUNK = 2_000_000
 
@@ -102,19 +102,24 @@ def sketch(texts: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(docs), np.concatenate(keys)
 
 
-_SEEDS = _mix(np.arange(1, 129, dtype=np.uint64) * _ODD)[:, None] | np.uint64(1)
+_SEEDS = [np.uint32(x >> np.uint64(32)) | np.uint32(1) for x in _mix(np.arange(1, 129, dtype=np.uint64) * _ODD)]
 
 
-def signature(words: list[int]) -> np.ndarray:
-    """The last bits of 128 minima of the distinct three-word sequences, as two numbers."""
-    run = np.array(words, np.uint64)
-    gram = np.zeros(len(run) - SHINGLE + 1, np.uint64)
+def signatures(texts: list[list[int]]) -> np.ndarray:
+    """The last bits of 128 minima of the three-word sequences of each text, as two numbers; each text has three words or more."""
+    sizes = np.array([len(t) - SHINGLE + 1 for t in texts])
+    starts = np.cumsum(sizes) - sizes
+    words = np.fromiter((w for t in texts for w in t), np.uint64, sum(map(len, texts)))
+    where = np.arange(sizes.sum()) + np.repeat(np.arange(len(texts)) * (SHINGLE - 1), sizes)
+    gram = np.zeros(len(where), np.uint64)
     for j in range(SHINGLE):
-        gram = _mix(gram * _ODD + run[j : len(gram) + j])
-    least = np.full((128, 1), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(gram), 4096):
-        least = np.minimum(least, (gram[None, at : at + 4096] * _SEEDS).min(axis=1, keepdims=True))
-    return np.packbits((_mix(least[:, 0]) & np.uint64(1)).astype(np.uint8)).view(np.int64)
+        gram = _mix(gram * _ODD + words[where + j])
+    gram = (_mix(gram) >> np.uint64(32)).astype(np.uint32)
+    bits = np.empty((len(texts), len(_SEEDS)), np.uint8)
+    for k, seed in enumerate(_SEEDS):
+        least = np.minimum.reduceat(gram * seed, starts).astype(np.uint64)
+        bits[:, k] = _mix(least * _ODD) & np.uint64(1)
+    return np.packbits(bits, axis=1).view(np.int64)
 
 
 KEYED = "key long, fp long, sign long, more long"
@@ -137,7 +142,7 @@ def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         texts.append(list(map(number.__getitem__, words)))
             if texts:
                 doc, key = sketch(texts)
-                sign, own = np.stack([signature(t) for t in texts]), np.array(fps, np.int64)
+                sign, own = signatures(texts), np.array(fps, np.int64)
                 yield pd.DataFrame({"key": key, "fp": own[doc], "sign": sign[doc, 0], "more": sign[doc, 1]})
 
 
@@ -186,7 +191,7 @@ def banded(pairs: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
         start = diagonal - BAND
         part = b[max(0, start) : start + longest + width]
         right[row, max(0, -start) : max(0, -start) + len(part)] = part[: max(0, longest + width - max(0, -start))]
-    best = np.zeros((len(pairs), width + 1), np.int32)
+    best = np.zeros((len(pairs), width + 1), np.int16 if longest < 32_000 else np.int32)
     for i in range(longest):
         step = np.maximum(best[:, 1:], best[:, :-1] + (right[:, i : i + width] == left[:, i : i + 1]))
         best[:, :-1] = np.maximum.accumulate(step, axis=1)
