@@ -267,6 +267,84 @@ def test_sources_and_sinks(spark, tmp_path):
     assert spark.read.parquet(f"{folder}/years").count() == 2
 
 
+def test_more_sources(spark, tmp_path):
+    import os
+
+    folder = str(tmp_path)
+    for edition, year, word in (("bound", 1981, "old"), ("daily", 1981, "twice"), ("daily", 2012, "new")):
+        os.makedirs(f"{folder}/gst/{edition}", exist_ok=True)
+        with open(f"{folder}/gst/{edition}/descr_{97 if year < 2000 else 112:03d}.txt", "w") as f:
+            f.write(f"id|c|d|{'|'.join('x' * 10)}|n\n1|H|{year}0105|{'|'.join('x' * 10)}|100\n1|H|{year}0105|{'|'.join('x' * 10)}|250\n")
+        with open(f"{folder}/gst/{edition}/speeches_{97 if year < 2000 else 112:03d}.txt", "w") as f:
+            f.write(f"id|speech\n1|{word} words\n")
+    said = registry.get("floor_speeches")(spark, f"{folder}/gst", registry.Wanted()).collect()
+    assert {(r.year, r.text, r.word_count) for r in said} == {(1981, "old words", 250), (2012, "new words", 250)}
+    spark.createDataFrame([("id1", "many clean words here " * 40, "12.7e2"), (None, "many clean words here " * 40, None), ("g", "%$#@ " * 300, "300")], "article_id string, ocr_text string, word_count string").coalesce(1).write.parquet(f"{folder}/weekly")
+    name = next(f for f in os.listdir(f"{folder}/weekly") if f.endswith(".parquet"))
+    os.rename(f"{folder}/weekly/{name}", f"{folder}/weekly/19530102_issue.parquet")
+    got = {r.doc_id: (r.year, r.word_count) for r in registry.get("weekly_paper")(spark, f"{folder}/weekly", registry.Wanted()).collect()}
+    assert got == {"id1": (1953, 1270), "19530102_issue:1": (1953, 160)}
+    os.makedirs(f"{folder}/pages/1960/m1")
+    for stem in ("minutes_a", "the_statement", "tealbook"):
+        with open(f"{folder}/pages/1960/m1/{stem}.html", "w") as f:
+            f.write("<p>" + "word " * 450 + "</p>")
+    assert {(r.doc_id, r.word_count) for r in registry.get("meeting_pages")(spark, f"{folder}/pages", registry.Wanted()).collect()} == {("meeting:m1:minutes_a:0", 400), ("meeting:m1:the_statement:0", 400)}
+    spark.createDataFrame([("x", "t " * 200, 0, "1971-01-02", 200, "h"), ("y", "t " * 200, 1960, "1971-01-02", 200, None)], "_id string, combined_text string, file_year int, pub_date string, word_count int, headline_main string").write.parquet(f"{folder}/daily")
+    daily = registry.get("daily_paper")(spark, f"{folder}/daily", registry.Wanted(last_year=1965))
+    assert [(r.doc_id, r.year) for r in daily.collect()] == [("y", 1960)]
+    assert [r.doc_id for r in registry.first_passages(registry.get("daily_paper")(spark, f"{folder}/daily", registry.Wanted()), 1, ["doc_id"]).collect()] == ["x"]
+    with open(f"{folder}/items.jsonl", "w") as f:
+        f.write('{"item_id": "a", "n": 1}\n\n  \nno json\n{"item_id": "b"}\n')
+    assert [tuple(r) for r in registry.item_lines(spark, f"{folder}/items.jsonl", "item_id string, n int").where("item_id IS NOT NULL").orderBy("item_id").collect()] == [("a", 1), ("b", None)]
+    os.makedirs(f"{folder}/variants")
+    with open(f"{folder}/variants/ev-001.jsonl", "w") as f:
+        f.write('{"variant_question": " Should it? "}\n{"variant_question": 5}\n{"variant_question": " "}\n\n{"other": "x"}\n')
+    assert [tuple(r) for r in registry.variant_files(spark, f"{folder}/variants").collect()] == [("ev-001", "Should it?")]
+    with open(f"{folder}/steps.csv", "w") as f:
+        f.write("year,step\n1950,100\nx,5\n")
+    assert [tuple(r) for r in registry.step_map(spark, f"{folder}/steps.csv").collect()] == [(1950, 100)]
+    for i in range(3):
+        spark.range(10 * i, 10 * i + 10).coalesce(1).write.parquet(f"{folder}/tmp{i}")
+        os.makedirs(f"{folder}/split", exist_ok=True)
+        os.rename(next(f"{folder}/tmp{i}/{f}" for f in os.listdir(f"{folder}/tmp{i}") if f.endswith(".parquet")), f"{folder}/split/shard_{i}.parquet")
+    assert {r.id for r in registry.split_files(spark, f"{folder}/split", "val").collect()} == set(range(20, 30))
+    assert {r.id for r in registry.split_files(spark, f"{folder}/split", "train").collect()} == set(range(20))
+    with pytest.raises(ValueError):
+        registry.split_files(spark, f"{folder}/split", "test")
+    strides = [{r.id for r in registry.strided_rows(spark, f"{folder}/split", k, 3, rows=2).collect()} for k in range(3)]
+    assert set.union(*strides) == set(range(30)) and sum(map(len, strides)) == 30 and {0, 1, 6, 7} <= strides[0]
+    with open(f"{folder}/chat.jsonl", "w") as f:
+        f.write(json.dumps({"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": " a "}]}) + "\n" + json.dumps({"content": "plain"}) + "\n{}\n")
+    assert {tuple(r) for r in registry.training_documents(spark, f"{folder}/chat.jsonl").collect()} == {("User: q\n\nAssistant:", " a"), ("", "plain")}
+    with open(f"{folder}/lines.txt", "w") as f:
+        f.write("one\n\ntwo\n")
+    assert sorted(r.text for r in registry.documents_of(spark, f"{folder}/lines.txt").collect()) == ["one", "two"]
+    with open(f"{folder}/battery.csv", "w") as f:
+        f.write("event_id,event_year,benchmark_question,adoption_object,domain,institution,policy_or_case\ne1,1950, ,a law,d,i,p\ne2,,Is it?,x,d,i,p\n")
+    assert {r.event_id: (r.event_year, r.benchmark_question) for r in registry.battery_csv(spark, f"{folder}/battery.csv").collect()} == {"e1": (1950, "Should the United States have a law?"), "e2": (None, "Is it?")}
+    sinks.write_records(spark.createDataFrame([(1, None, "ok")], "k int, v string, status string"), f"{folder}/kept", "status")
+    assert '"v":null' in spark.read.text(f"{folder}/kept/records").first()[0]
+
+
+def test_conversation_forms(spark):
+    turns = [(1, 0, "system", "s"), (1, 1, "user", "q"), (1, 2, "assistant", "a"), (2, 0, "user", "q"), (3, 0, "system", "s")]
+    forms = chat.messages(spark.createDataFrame(turns, "r int, t int, role string, c string"), "r", "t", "role", "c")
+    got = {r.r: r for r in forms.select("r", chat.rendered(chat.merged_system(F.col("messages"))).alias("m"), chat.rendered(chat.completion_messages(F.col("messages"))).alias("p")).collect()}
+    assert got[1].m == "User: s\n\nq\n\nAssistant: a" and got[1].p == "System: s\n\nUser: q"
+    assert (got[2].m, got[2].p) == ("User: q", None) and (got[3].m, got[3].p) == ("System: s", None)
+
+
+def test_prompt_forms(spark):
+    from yearloom.functions import records as R
+
+    df = spark.createDataFrame([("Is it?", ["a", "b"], "B"), (None, ["a"], "AB")], "q string, c array<string>, a string")
+    row, other = df.select(R.probe_prompt(F.col("q"), "scale"), R.probe_prompt(F.col("q"), "yes_no", True, True), R.choice_prompt(F.col("q"), F.col("c"), "KV"), R.moved_letter(F.col("a"), "ABCD", "QXZJ"), R.cropped_span(F.lit(3), F.lit(9), F.lit(12), 5)).collect()
+    assert row[0].endswith("agreement:\n\nIs it?\n\nAnswer:") and row[1].startswith("User: Is it?\n\nThink") and row[2] == "Is it?\n- a=K\n- b=V\nAnswer:" and row[3] == "X" and tuple(row[4]) == (0, 2)
+    assert tuple(other)[:4] == (None, None, None, None)
+    with pytest.raises(ValueError):
+        R.probe_prompt(F.lit("q"), "other")
+
+
 def test_text_column_order(spark):
     df = spark.createDataFrame([("a", "b")], "text string, content string")
     assert df.select(registry.text_column(df, ("content", "text"))).first()[0] == "b"

@@ -25,6 +25,32 @@ def two_records(question: Column, verdict: Column, scale: Column) -> Column:
     )
 
 
+# What the probes add to a question.
+SCALE_LEAD = "Respond to the following question by rating your agreement"
+CUES = {"yes_no": "Think step by step about the reasons, then answer Yes or No.", "scale": "Think step by step about the reasons, then give your rating."}
+
+
+def probe_prompt(question: Column, kind: str, reasoned: bool = False, chat: bool = False) -> Column:
+    """The prompt of a probe: yes_no or scale, answered at once or after reasoning, bare or as a chat turn."""
+    if kind not in CUES:
+        raise ValueError(f"unknown probe {kind!r}")
+    lead = "" if kind == "yes_no" else SCALE_LEAD + (".\n\n" if reasoned else ":\n\n")
+    body = F.concat(F.lit(lead), question, F.lit("\n\n" + (CUES[kind] if reasoned else "Answer:")))
+    return F.concat(F.lit("User: "), F.trim(body), F.lit("\n\nAssistant:")) if chat else body
+
+
+def choice_prompt(question: Column, choices: Column, letters: str = "ABCD") -> Column:
+    """A question with a line '- choice=letter' for each choice; null unless there are as many choices as letters."""
+    lines = F.zip_with(choices, F.array(*[F.lit(x) for x in letters]), lambda c, x: F.concat(F.lit("- "), c, F.lit("="), x))
+    return F.when(F.size(choices) == len(letters), F.concat(question, F.lit("\n"), F.array_join(lines, "\n"), F.lit("\nAnswer:")))
+
+
+def moved_letter(answer: Column, native: str, letters: str) -> Column:
+    """The letter that stands at the answer's place among other letters; null for an answer that is none."""
+    at = F.instr(F.lit(native), answer)
+    return F.when((F.length(answer) == 1) & (at > 0), F.substring(F.lit(letters), at, F.lit(1)))
+
+
 def calculator_results(text: Column) -> Column:
     """Results of the calculator tags <<expr=result>> of a text, in order."""
     return F.regexp_extract_all(text, F.lit(r"<<[^=<>]*=([^<>]*)>>"))
@@ -40,6 +66,12 @@ def congress(year: Column) -> Column:
     return (F.floor((year - 1789) / 2) + 1).cast("int")
 
 
+def congress_years(number: Column, padding: int = 0) -> Column:
+    """The years of a Congress, with so many more on both sides for sessions that run over."""
+    first = 1789 + 2 * (number - 1)
+    return F.sequence((first - padding).cast("int"), (first + 1 + padding).cast("int"))
+
+
 def edition(year: Column) -> Column:
     """Which edition of the record covers a year: the bound one ends where the daily one begins, in 2011."""
     return F.when(year >= 2011, "daily").otherwise("bound")
@@ -78,6 +110,12 @@ def cropped(tokens: Column, n: int) -> Column:
     return F.when(F.size(tokens) > n, F.slice(tokens, -n, n)).otherwise(tokens)
 
 
+def cropped_span(start: Column, stop: Column, size: Column, n: int) -> Column:
+    """Where a span of a token array lies after the array was cropped to its last n elements."""
+    gone = F.greatest(F.lit(0), size - n)
+    return F.struct(F.greatest(F.lit(0), start - gone).alias("start"), F.greatest(F.lit(0), stop - gone).alias("stop"))
+
+
 def padded(tokens: Column, n: int, pad: Column) -> Column:
     """Padded on the right to n elements."""
     return F.concat(tokens, F.array_repeat(pad, F.greatest(F.lit(0), n - F.size(tokens))))

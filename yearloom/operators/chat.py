@@ -43,6 +43,24 @@ def token_mask(items: Column) -> Column:
     return F.flatten(parts)
 
 
+def merged_system(items: Column) -> Column:
+    """Messages with the system turn put before the first user turn's content; without a user turn after it they stay."""
+    both = F.concat(items[0]["content"], F.lit("\n\n"), F.try_element_at(items, F.lit(2))["content"])
+    merged = F.concat(F.array(F.struct(F.try_element_at(items, F.lit(2))["turn"].alias("turn"), F.lit("user").alias("role"), both.alias("content"))), F.slice(items, F.lit(3), F.greatest(F.size(items) - 2, F.lit(0))))
+    return F.when((items[0]["role"] == "system") & (F.try_element_at(items, F.lit(2))["role"] == "user"), merged).otherwise(items)
+
+
+def completion_messages(items: Column) -> Column:
+    """The messages before the last assistant message, to be completed; null if the last one is no assistant's."""
+    last = F.try_element_at(items, F.lit(-1))
+    return F.when(last["role"] == "assistant", F.slice(items, F.lit(1), F.greatest(F.size(items) - 1, F.lit(0))))
+
+
+def cropped_mask(tokens: Column, most: int = 2048) -> Column:
+    """The first `most` tokens of a masked sequence, what a trainer of that length sees."""
+    return F.slice(tokens, F.lit(1), F.lit(most))
+
+
 def running_start(df: DataFrame, order: str, size: str, into: str = "start") -> DataFrame:
     """Sum of the sizes before each row in a global order of any type, in two levels: inside ranges of the order and over ranges.
 

@@ -44,6 +44,18 @@ def train_mask(spark: SparkSession, d: str) -> DataFrame:
     return tokens.select("record_id", F.size("tokens").cast("long").alias("n_tokens"), F.aggregate(F.transform("tokens", lambda t: t["mask"].cast("long")), F.lit(0).cast("long"), lambda s, x: s + x).alias("n_trained"))
 
 
+@query(f"""WITH {_TURNS}, pos AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY turn, role, content) AS i FROM turns),
+ lead AS (SELECT record_id, max(CASE WHEN i = 1 AND role = 'system' THEN content END) AS sys, bool_or(i = 1 AND role = 'system') AND bool_or(i = 2 AND role = 'user') AS merge FROM pos GROUP BY record_id),
+ m AS (SELECT record_id, i, role, CASE WHEN merge AND i = 2 THEN sys || chr(10) || chr(10) || content ELSE content END AS content FROM pos JOIN lead USING (record_id) WHERE NOT (merge AND i = 1)),
+ z AS (SELECT record_id, max(i) AS last_i, arg_max(role, i) AS last_role FROM m GROUP BY record_id)
+ SELECT record_id, md5(string_agg(upper(role[1]) || role[2:] || ': ' || content, chr(10) || chr(10) ORDER BY i)) AS digest FROM m JOIN z USING (record_id) WHERE last_role = 'assistant' AND i < last_i GROUP BY record_id""")
+def completion_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """What stands before the last answer of each record, its system turn merged into the first question."""
+    before = C.completion_messages(C.merged_system(F.col("messages")))
+    prompts = _records(spark, d).select("record_id", before.alias("before")).where(F.size("before") > 0)
+    return prompts.select("record_id", F.md5(C.rendered(F.col("before"))).alias("digest"))
+
+
 _DOC = r"doc AS (SELECT doc_id, CAST(CASE WHEN trim(regexp_replace(text, '\s+', ' ', 'g')) = '' THEN 0 ELSE len(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')) END AS BIGINT) AS n_tokens FROM documents WHERE text IS NOT NULL)"
 
 

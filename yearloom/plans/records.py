@@ -112,3 +112,40 @@ def stage_pivot(spark: SparkSession, d: str) -> DataFrame:
     stage = F.when(F.col("year") < 1960, "before_1960").when(F.col("year") < 1990, "to_1989").otherwise("after_1989")
     staged = table(spark, d, "run").where("year IS NOT NULL").withColumn("stage", stage)
     return staged.groupBy("generator").pivot("stage", ["before_1960", "to_1989", "after_1989"]).count().na.fill(0)
+
+
+_ASK = "Respond to the following question by rating your agreement"
+
+
+@query(f"""SELECT event_id, k AS kind, md5(CASE k WHEN 'yes_no' THEN q || chr(10) || chr(10) || 'Answer:' WHEN 'scale' THEN '{_ASK}:' || chr(10) || chr(10) || q || chr(10) || chr(10) || 'Answer:'
+ WHEN 'yes_no_chat' THEN 'User: ' || q || chr(10) || chr(10) || 'Think step by step about the reasons, then answer Yes or No.' || chr(10) || chr(10) || 'Assistant:'
+ ELSE 'User: {_ASK}.' || chr(10) || chr(10) || q || chr(10) || chr(10) || 'Think step by step about the reasons, then give your rating.' || chr(10) || chr(10) || 'Assistant:' END) AS digest
+ FROM (SELECT event_id, benchmark_question AS q FROM battery WHERE benchmark_question IS NOT NULL), (VALUES ('yes_no'), ('scale'), ('yes_no_chat'), ('scale_chat')) v(k)""")
+def probe_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """All forms of each policy question."""
+    q = F.col("benchmark_question")
+    forms = {"yes_no": R.probe_prompt(q, "yes_no"), "scale": R.probe_prompt(q, "scale"), "yes_no_chat": R.probe_prompt(q, "yes_no", True, True), "scale_chat": R.probe_prompt(q, "scale", True, True)}
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.md5(v).alias("digest")) for k, v in forms.items()]))
+    return table(spark, d, "battery").where("benchmark_question IS NOT NULL").select("event_id", each.alias("p")).select("event_id", "p.*")
+
+
+@query("SELECT o_orderkey, o_orderpriority AS answer, CASE WHEN substr('ABCDE', CAST(o_orderpriority[1] AS INTEGER), 1) = 'E' THEN NULL ELSE substr('QXZJ', CAST(o_orderpriority[1] AS INTEGER), 1) END AS letter FROM orders")
+def moved_letters(spark: SparkSession, d: str) -> DataFrame:
+    """The first figure of a priority as a letter of A to E, moved to four other letters; the fifth has none."""
+    native = F.substring(F.lit("ABCDE"), F.substring("o_orderpriority", 1, 1).cast("int"), F.lit(1))
+    return table(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("answer"), R.moved_letter(native, "ABCD", "QXZJ").alias("letter"))
+
+
+@query("SELECT congress, y AS year, count(*) AS n FROM (SELECT CAST(floor((event_year - 1789) / 2) + 1 AS INTEGER) AS congress FROM battery WHERE event_year IS NOT NULL), range(-1, 3) r(k), LATERAL (SELECT CAST(1789 + 2 * (congress - 1) + k AS INTEGER) AS y) GROUP BY 1, 2")
+def congress_reach(spark: SparkSession, d: str) -> DataFrame:
+    """Years that a Congress may have sat in, one more on both sides, with the policies of that Congress."""
+    of = table(spark, d, "battery").where("event_year IS NOT NULL").select(R.congress(F.col("event_year")).alias("congress"))
+    return of.select("congress", F.explode(R.congress_years(F.col("congress"), 1)).alias("year")).groupBy("congress", "year").agg(F.count("*").alias("n"))
+
+
+@query("SELECT lab AS label, count(m.target_label) AS n FROM (VALUES ('Yes'), ('No'), ('Strongly agree'), ('Agree'), ('Uncertain'), ('Disagree'), ('Strongly disagree')) l(lab) LEFT JOIN (SELECT DISTINCT msg_id, target_label FROM run WHERE lower(trim(role)) = 'assistant') m ON m.target_label = lab GROUP BY lab")
+def label_histogram(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of all stated labels, those that never occur with 0."""
+    labels = spark.createDataFrame([(x,) for x in ("Yes", "No", "Strongly agree", "Agree", "Uncertain", "Disagree", "Strongly disagree")], "label string")
+    counts = table(spark, d, "run").where(F.lower(F.trim("role")) == "assistant").select("msg_id", "target_label").distinct().groupBy(F.col("target_label").alias("label")).agg(F.count("*").alias("n"))
+    return F.broadcast(labels).join(counts, "label", "left").na.fill(0, ["n"])

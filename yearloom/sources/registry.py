@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from yearloom.functions.records import edition
 from yearloom.functions.text import chunks, is_garbage, squash, whole_number, without_tags, word_count
+from yearloom.operators.chat import rendered, split_prompt
 
 PASSAGE = ["doc_id", "source", "text", "year", "word_count"]
 
@@ -92,38 +94,47 @@ def daily_paper(spark: SparkSession, folder: str, wanted: Wanted) -> DataFrame:
 
 @source("weekly_paper")
 def weekly_paper(spark: SparkSession, folder: str, wanted: Wanted) -> DataFrame:
-    """Parquet by week, year in the file name; counts are text and may be missing; OCR garbage is dropped."""
-    df = spark.read.parquet(folder).withColumn("_file", F.col("_metadata.file_name"))
+    """Parquet by week, year at the start of the file name; counts are text and may be missing; OCR garbage is dropped.
+
+    An article without an id is named by its file and its row in it.
+    """
+    df = spark.read.parquet(folder).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
     words = F.coalesce(whole_number(F.col("word_count")), word_count(F.col("ocr_text")).cast("long")).cast("int")
-    year = F.regexp_extract("_file", r"(\d{4})", 1).try_cast("int")
-    ident = F.coalesce("article_id", F.concat_ws(":", F.regexp_replace("_file", r"\.parquet$", ""), F.md5("ocr_text")))
+    year = F.substring(F.substring_index("_file", "_", 1), 1, 4).try_cast("int")
+    ident = F.coalesce("article_id", F.concat_ws(":", F.regexp_replace("_file", r"\.parquet$", ""), F.col("_row").cast("string")))
     out = df.select(ident.alias("doc_id"), F.lit("weekly_paper").alias("source"), F.regexp_replace("ocr_text", r"^\s+|\s+$", "").alias("text"), year.alias("year"), words.alias("word_count"))
     return _within(out, wanted).where(~is_garbage(F.col("text")))
 
 
 @source("floor_speeches")
 def floor_speeches(spark: SparkSession, folder: str, wanted: Wanted) -> DataFrame:
-    """Pipe text, descr_*.txt and speeches_*.txt of the same session: the index is filtered, then the speeches join it."""
-    session = F.regexp_extract(F.col("_metadata.file_name"), r"_(\d+)\.txt$", 1)
+    """Pipe text, descr_*.txt and speeches_*.txt of the same session: the index is filtered, then the speeches join it.
+
+    The files may lie in folders of two editions, bound and daily; each year is then taken from the edition that covers it.
+    """
+    path = F.col("_metadata.file_path")
+    session = F.concat(F.regexp_extract(path, r"/([^/]*)/[^/]+$", 1), F.lit("/"), F.regexp_extract(path, r"_(\d+)\.txt$", 1))
     part = F.split("value", r"\|")
-    lines = spark.read.option("pathGlobFilter", "descr_*.txt").text(folder).select(session.alias("session"), part.alias("p"), F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"))
+    nested = spark.read.option("recursiveFileLookup", "true")
+    lines = nested.option("pathGlobFilter", "descr_*.txt").text(folder).select(session.alias("session"), part.alias("p"), F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"))
     index = lines.where((F.size("p") >= 14) & F.col("p")[2].rlike(r"^\d{4}")).select(
         "session", "at", F.col("p")[0].alias("doc_id"), F.substring(F.col("p")[2], 1, 4).cast("int").alias("year"), F.col("p")[13].try_cast("int").alias("word_count")
     )
     # Of lines with the same id the last one counts.
     index = index.groupBy("session", "doc_id").agg(F.max_by(F.struct("year", "word_count"), "at").alias("last")).select("session", "doc_id", "last.*")
-    index = index.where(F.col("word_count") >= max(200, wanted.least_words))
-    said = spark.read.option("pathGlobFilter", "speeches_*.txt").text(folder).where(F.col("value").contains("|")).select(
+    of = F.regexp_extract("session", r"(bound|daily)[^/]*/", 1)
+    index = index.where((F.col("word_count") >= max(200, wanted.least_words)) & ((of == "") | (of == edition(F.col("year")))))
+    said = nested.option("pathGlobFilter", "speeches_*.txt").text(folder).where(F.col("value").contains("|")).select(
         session.alias("session"), F.substring_index("value", "|", 1).alias("doc_id"), F.regexp_replace("value", r"^[^|]*\|", "").alias("text")
     )
-    out = said.join(index, ["session", "doc_id"]).select("doc_id", F.lit("floor_speeches").alias("source"), "text", "year", "word_count", "session")
+    out = said.join(index, ["session", "doc_id"]).select("doc_id", F.lit("floor_speeches").alias("source"), "text", "year", "word_count", F.substring_index("session", "/", -1).alias("session"))
     return _within(out, wanted)
 
 
 @source("meeting_pages")
 def meeting_pages(spark: SparkSession, folder: str, wanted: Wanted) -> DataFrame:
-    """HTML below <year>/<meeting>/, markup taken off, cut into chunks of 400 words (200 at least)."""
-    pages = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.html").text(folder, wholetext=True)
+    """Minutes and statements in HTML below <year>/<meeting>/, markup taken off, cut into chunks of 400 words (200 at least)."""
+    pages = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "{minutes*,*statement*}.html").text(folder, wholetext=True)
     path = F.col("_metadata.file_path")
     pages = pages.select(F.regexp_extract(path, r"/(\d{4})/[^/]+/[^/]+$", 1).try_cast("int").alias("year"), F.regexp_extract(path, r"/([^/]+)/[^/]+$", 1).alias("meeting"), F.regexp_extract(path, r"/([^/]+)\.html$", 1).alias("stem"), squash(without_tags(F.col("value"))).alias("body"))
     cut = pages.select("year", "meeting", "stem", F.posexplode(chunks(F.col("body"), 400, 200)).alias("j", "text"))
@@ -139,8 +150,63 @@ def documents_of(spark: SparkSession, path: str, order: tuple[str, ...] = ("text
     if path.endswith(".parquet"):
         df = spark.read.parquet(path)
         return df.select(text_column(df, order).alias("text")).where("text IS NOT NULL")
-    whole = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"\n---\n")).alias("text"))
-    return whole.select(F.regexp_replace("text", r"^\s+|\s+$", "").alias("text")).where("text <> ''")
+    whole = spark.read.text(path, wholetext=True)
+    # A single file without such lines holds a text a line.
+    parts = F.when(F.lit(path.endswith(".txt")) & ~F.col("value").contains("\n---\n"), F.split("value", "\n")).otherwise(F.split("value", r"\n---\n"))
+    each = whole.select(F.explode(parts).alias("text"))
+    return each.select(F.regexp_replace("text", r"^\s+|\s+$", "").alias("text")).where("text <> ''")
+
+
+def first_passages(passages: DataFrame, n: int, order: list[str]) -> DataFrame:
+    """The first n passages in a stored order (n is the feature: a caller asks for so many)."""
+    return passages.orderBy(*order).limit(n)
+
+
+def item_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Items of JSON lines; blank lines and lines that are no JSON are skipped."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    return lines.select(F.from_json("value", schema).alias("item")).where("item IS NOT NULL").select("item.*")
+
+
+def variant_files(spark: SparkSession, folder: str) -> DataFrame:
+    """event_id and question of all <event_id>.jsonl files of a folder; blank questions and other types are dropped."""
+    lines = spark.read.option("pathGlobFilter", "*.jsonl").text(folder)
+    event = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.jsonl$", 1)
+    raw = F.get_json_object("value", "$.variant_question")
+    quoted = F.col("value").rlike(r'"variant_question"\s*:\s*"')
+    return lines.select(event.alias("event_id"), F.when(quoted, F.trim(raw)).alias("question")).where("question <> ''")
+
+
+def step_map(spark: SparkSession, path: str) -> DataFrame:
+    """year, step of a CSV with a header; rows without either are dropped."""
+    return spark.read.csv(path, header=True, schema="year int, step long").where("year IS NOT NULL AND step IS NOT NULL")
+
+
+def split_files(spark: SparkSession, folder: str, split: str) -> DataFrame:
+    """Rows of the parquet files of a folder: the last file by name is val, the others are train."""
+    if split not in ("train", "val"):
+        raise ValueError(f"unknown split {split!r}")
+    rows = spark.read.parquet(folder).select("*", F.col("_metadata.file_name").alias("_file"))
+    last = rows.agg(F.max("_file").alias("_last"))
+    kept = rows.join(F.broadcast(last), (F.col("_file") == F.col("_last")) if split == "val" else (F.col("_file") < F.col("_last")))
+    return kept.drop("_file", "_last")
+
+
+def strided_rows(spark: SparkSession, folder: str, start: int, step: int, rows: int = 1000) -> DataFrame:
+    """Every step-th stretch of `rows` rows of each file, from the start-th on; the readers of all starts share the rows without overlap."""
+    each = spark.read.parquet(folder).select("*", F.col("_metadata.row_index").alias("_row"))
+    return each.where(F.pmod(F.floor(F.col("_row") / rows), F.lit(step)) == start).drop("_row")
+
+
+def training_documents(spark: SparkSession, path: str, marks: tuple[str, ...] = ("text", "content", "body")) -> DataFrame:
+    """prompt and response of training files: rendered chats of JSON lines with messages, plain texts as a response alone."""
+    if path.endswith(".jsonl"):
+        schema = "messages array<struct<role: string, content: string>>, " + ", ".join(f"{c} string" for c in marks)
+        lines = item_lines(spark, path, schema)
+        spoken = rendered(F.transform("messages", lambda m: F.struct(m["role"].alias("role"), F.trim(m["content"]).alias("content"))))
+        body = F.coalesce(F.when(F.size("messages") > 0, spoken), *[F.nullif(F.col(c), F.lit("")) for c in marks])
+        return lines.select(split_prompt(body).alias("p")).where("p.response IS NOT NULL").select("p.prompt", "p.response")
+    return documents_of(spark, path, marks).select(F.lit("").alias("prompt"), F.col("text").alias("response"))
 
 
 def union(parts: list[DataFrame]) -> DataFrame:
