@@ -68,7 +68,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def sketch(texts: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of several texts at once (at most 4096), given as word hashes: the text's index and the key, one entry each."""
+    """Keys of several texts at once (at most 3600), given as word hashes: the text's index and the key, one entry each."""
     sizes = np.array([max(0, len(t) - KMER + 1) for t in texts])
     starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])[:-1]])
     words = np.fromiter((w for t in texts for w in t), np.uint64, sum(map(len, texts)))
