@@ -196,7 +196,9 @@ def _packed(lengths: DataFrame, stated: list[tuple[str, int]]) -> DataFrame:
     # The histogram has at most `capacity` rows for each spec.
     ahead = each.groupBy("spec_name").agg((F.sum("full") + 1).alias("first"))
     histogram = rest.groupBy("spec_name", "capacity", "size").agg(F.count("*").alias("n")).join(ahead, "spec_name")
-    plan = cut_lineage(histogram.groupBy("spec_name").applyInPandas(_plan, SLOTS + ", low long"))
+    # A stated number of partitions is kept, so the specs are solved side by side.
+    apart = histogram.repartition(max(1, 4 * len(stated)), "spec_name")
+    plan = cut_lineage(apart.groupBy("spec_name").applyInPandas(_plan, SLOTS + ", low long"))
     slots = plan.groupBy("spec_name", "size").agg(F.sort_array(F.collect_list(F.struct("low", "copies", "base", "per", "skip", "start"))).alias("slots"))
     ranked = spread_rank(rest.select("spec_name", "item_id", "size", "full"), ["spec_name", "size"], F.col("item_id"), cells=cells)
     # The slots of a length, at most one for each configuration, ascend by `low`; the last that is not above the rank holds it.
