@@ -92,13 +92,13 @@ def limits(measured: DataFrame, least: int = LEAST, times: float = TIMES, around
 def measured(documents: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
     """The lengths and the ending of every text; the texts themselves go no further. A broken last character is not counted."""
     body = F.coalesce(F.col(text), F.lit(""))
-    bare = F.regexp_replace(body, "\ufffd+$", "")
+    bare = F.when(body.endswith("\ufffd"), F.regexp_replace(body, "\ufffd+$", "")).otherwise(body)
     return documents.select(
         F.col(doc_id).alias("doc_id"),
         F.coalesce(F.col(source), F.lit("(none)")).alias("source"),
         F.length(body).alias("n_chars"),
         F.octet_length(bare).alias("n_bytes"),
-        F.when(F.trim(body) == "", 0).otherwise(F.size(F.split(F.trim(body), r"\s+"))).alias("n_words"),
+        F.regexp_count(body, F.lit(r"\S+")).alias("n_words"),
         (F.length(bare) < F.length(body)).alias("broken"),
         _ending(F.right(body, F.lit(TAIL))).alias("ending"),
     )
