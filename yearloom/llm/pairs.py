@@ -122,6 +122,9 @@ def _copy(question: str, answer: str) -> bool:
     words, asked = re.findall(r"\w+", answer.lower()), re.findall(r"\w+", question.lower())
     if len(words) < 4 or len(words) < 0.4 * min(len(asked), 40):
         return False
+    # A common run begins with a common word, so with fewer of these there are too many new runs.
+    if sum(map(set(asked).__contains__, words)) < 0.6 * (len(words) - 2):
+        return False
     grams = {tuple(asked[i : i + 3]) for i in range(len(asked) - 2)}
     own = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
     new = sum(g not in grams for g in own)
