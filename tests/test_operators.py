@@ -326,6 +326,24 @@ def test_more_sources(spark, tmp_path):
     assert '"v":null' in spark.read.text(f"{folder}/kept/records").first()[0]
 
 
+def test_archives_pools_and_envelopes(spark, tmp_path):
+    import io
+    import tarfile
+
+    folder = str(tmp_path)
+    with tarfile.open(f"{folder}/runs.tar", "w") as archive:
+        for name, text in (("1950/eval.json", '{"p": 0.5}'), ("x/eval.json", "{}"), ("1951/notes.txt", "no")):
+            info = tarfile.TarInfo(name)
+            info.size = len(text)
+            archive.addfile(info, io.BytesIO(text.encode()))
+    assert {(r.year, r.text) for r in registry.archived_lines(spark, f"{folder}/runs.tar").collect()} == {(1950, '{"p": 0.5}'), (None, "{}")}
+    pool = spark.createDataFrame([(1950, 0, 7, False)], "year int, pos long, key long, resampled boolean")
+    sinks.write_pool(pool, spark.createDataFrame([(1950, 1)], "year int, n_total int"), f"{folder}/p")
+    assert spark.read.parquet(f"{folder}/p/pool").first().key == 7 and spark.read.json(f"{folder}/p/manifest").first().n_total == 1
+    sinks.write_results(spark.createDataFrame([("arc", None)], "suite string, accuracy double"), f"{folder}/e", "m", "choice")
+    assert spark.read.text(f"{folder}/e").first()[0] == '{"experiment":"m","evaluator":"choice","results":{"suite":"arc","accuracy":null}}'
+
+
 def test_conversation_forms(spark):
     turns = [(1, 0, "system", "s"), (1, 1, "user", "q"), (1, 2, "assistant", "a"), (2, 0, "user", "q"), (3, 0, "system", "s")]
     forms = chat.messages(spark.createDataFrame(turns, "r int, t int, role string, c string"), "r", "t", "role", "c")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import io
+import tarfile
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -234,3 +237,19 @@ def evaluation_files(spark: SparkSession, folder: str) -> DataFrame:
     each = df.select("experiment", F.explode("results.policies").alias("p"))
     year = F.coalesce(F.nullif(F.regexp_extract("experiment", r"_(\d{4})_", 1), F.lit("")), F.nullif(F.regexp_extract("experiment", r"(\d{4})", 1), F.lit("")))
     return each.select("experiment", year.cast("int").alias("year_model"), F.col("p.id").alias("policy_id"), F.col("p.implementation_year").alias("enactment_year"), F.coalesce("p.scores.yes_no.mean_p_yes", "p.scores.yes_no.p_yes").alias("p_yes"), F.coalesce("p.scores.likert5.mean_score", "p.scores.likert5.score").alias("likert"), F.col("p.scores.yes_no.n_variants").alias("n_variants"))
+
+
+def archived_lines(spark: SparkSession, path: str) -> DataFrame:
+    """year and text of the JSON files in tar archives; the year is the first part of a member's path. An archive is read in one task."""
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch["content"]:
+                with tarfile.open(fileobj=io.BytesIO(content)) as archive:
+                    for member in archive:
+                        if member.isfile() and member.name.endswith(".json"):
+                            text = archive.extractfile(member).read().decode("utf-8", "replace")
+                            yield pd.DataFrame({"path": [member.name.removeprefix("./")], "text": [text]})
+
+    members = spark.read.format("binaryFile").load(path).select("content").mapInPandas(unpack, "path string, text string")
+    return members.select(F.substring_index("path", "/", 1).try_cast("int").alias("year"), "path", "text")

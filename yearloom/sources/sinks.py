@@ -36,3 +36,15 @@ def markdown(df: DataFrame, most_rows: int = 500) -> str:
         raise ValueError(f"more than {most_rows} rows")
     lines = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
     return "\n".join(lines + ["| " + " | ".join("-" if v is None else str(v) for v in r) + " |" for r in rows])
+
+
+def write_pool(pool: DataFrame, manifest: DataFrame, folder: str) -> None:
+    """A pool with its positions, by year, and beside it the manifest of the years as JSON lines."""
+    pool.write.mode("overwrite").partitionBy("year").parquet(f"{folder}/pool")
+    manifest.write.mode("overwrite").option("ignoreNullFields", False).json(f"{folder}/manifest")
+
+
+def write_results(results: DataFrame, folder: str, experiment: str, evaluator: str) -> None:
+    """Measures of an evaluator as JSON lines, each in an envelope that names the experiment and the evaluator."""
+    enveloped = results.select(F.lit(experiment).alias("experiment"), F.lit(evaluator).alias("evaluator"), F.struct(*results.columns).alias("results"))
+    enveloped.write.mode("overwrite").option("ignoreNullFields", False).json(folder)
