@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -231,6 +232,75 @@ def test_alignment_of_very_long_texts():
     assert neardup.banded([(words, words, 0)])[0] == 70_000
 
 
+def test_sketches_cost_less_than_two_searches_for_words():
+    import pandas as pd
+
+    rng = random.Random(8)
+    texts = pd.DataFrame({"fp": range(1000), "text": [" ".join(f"v{rng.randrange(10**5)}" for _ in range(200)) for _ in range(1000)]})
+
+    def seconds(work):
+        began = time.process_time()
+        work()
+        return time.process_time() - began
+
+    words = min(seconds(lambda: [re.findall("[a-z0-9]+", t.lower()) for t in texts["text"]]) for _ in range(5))
+    assert min(seconds(lambda: list(neardup._sketches(iter([texts])))) for _ in range(5)) < 2 * words
+
+
+def test_hashed_words_are_the_words_of_the_lower_cased_text(monkeypatch):
+    monkeypatch.setattr(neardup, "PIECE", 16)
+    texts = ["", "One two-TWO", " Stra\u00dfe \u0130x 9\u212a.", "\u00e9", "x" * 50 + " one", "ONE 9K two\n", "i x one"]
+    words, sizes = neardup.hashed_words(texts)
+    plain = [re.findall("[a-z0-9]+", t.lower()) for t in texts]
+    assert sizes.tolist() == [len(w) for w in plain]
+    flat = [w for text in plain for w in text]
+    assert len(set(zip(flat, words.tolist()))) == len(set(flat)) == len(set(words.tolist()))
+
+
+def test_keys_of_a_text_do_not_depend_on_its_batch():
+    import pandas as pd
+
+    rng = random.Random(9)
+    texts = pd.DataFrame({"fp": range(300), "text": [" ".join(rng.choice("abc") for _ in range(400)) for _ in range(300)]})
+    whole = pd.concat(neardup._sketches(iter([texts])))
+    alone = pd.concat(pd.concat(neardup._sketches(iter([texts[i : i + 1]]))) for i in range(300))
+    assert whole.values.tolist() == alone.values.tolist()
+
+
+def test_cells_over_several_batches_lose_no_pair(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(10)
+    rows = sorted((cell, rng.randrange(-20, 20)) for cell in (rng.choice([-7, 1, 2, *range(3, 60)]) for _ in range(300)))
+    want = {(a, b) for cell, a in rows for other, b in rows if cell == other and a < b}
+    for size, most in ((1, 10**6), (7, 5), (300, 5), (300, 10**6)):
+        monkeypatch.setattr(neardup, "PAIRS", most)
+        batches = []
+        for at in range(0, len(rows), size):
+            cell, fp = (pa.array(x, pa.int64()) for x in zip(*rows[at : at + size]))
+            batches += [pa.RecordBatch.from_arrays([cell, fp, cell, cell], ["cell", "fp", "sign", "more"])]
+        assert {tuple(r.values()) for out in neardup._met(iter(batches)) for r in out.to_pylist()} == want
+
+
+def test_only_texts_of_candidates_are_moved(spark, monkeypatch):
+    texts = neardup.fingerprinted(spark.createDataFrame([(i, f"word{i} " * 120) for i in range(200)], "id long, text string"), "id", "text")
+    fps = texts.where("id < 3").select("fp")
+    wanted = {r.fp for r in fps.collect()}
+    joined = neardup._bodies(texts, fps)
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    # The marks stand between the join with what is wanted and the texts.
+    assert "shiftleft" in plan and "LeftSemi" not in plan
+    assert {r.fp for r in joined.collect()} == wanted
+    monkeypatch.setattr(neardup, "MARKS", 1)
+    assert {r.fp for r in neardup._bodies(texts, fps).collect()} == wanted
+
+
+def test_keys_are_shuffled_and_sorted_once(spark):
+    texts = neardup.fingerprinted(spark.createDataFrame([(1, "a b " * 120)], "id long, text string"), "id", "text")
+    plan = neardup.candidates(texts)._jdf.queryExecution().optimizedPlan().toString()
+    assert "cell_a" not in plan and plan.count("RepartitionByExpression [cell") == 1
+
+
 def test_no_records(spark):
     empty = spark.createDataFrame([], "id long, text string")
     assert neardup.near_duplicate_pairs(empty, "id", "text").count() == 0

@@ -9,18 +9,19 @@ settled. The others (moved parts, many edits) are settled by their exact share o
 is lost or wrong for the band's sake.
 
 Equal texts are one node throughout; they are told apart again only in the result. Keys that a bounded sample shows to be
-common are dealt into blocks before the shuffle, and block against block is a task of its own; no key is left out.
+common are dealt into blocks before the shuffle, and block against block is a cell of its own; no key is left out. Rows of a
+cell lie together after one sort, and most cells have one row, so pairs are made from the sorted rows, not by a join.
 
 Defined cases: null, empty and short texts pair with nothing; a record delivered again counts once.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,112 +42,161 @@ AGREEING = 84
 SAMPLE, COMMON, LEAST = 64, 20_000, 8
 #: Rows of a common key that are compared in one go.
 BLOCK = 1024
+#: Pairs of rows whose signatures are compared in one go, but for the last row's.
+PAIRS = 1_000_000
+#: Numbers of 64 bits in which the texts of candidates are marked before their words are shuffled. Other texts may share a bit,
+#: one in six with twelve million marked; so it decides what is moved, not what is compared.
+MARKS = 1 << 20
 #: Half the width of an alignment band.
 BAND = 8
 #: Characters of the texts that are verified together.
 CHUNK = 2_000_000
 
-WORD = re.compile(r"[a-z0-9]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Hashes(dict):
-    """Word to 64-bit hash, remembered up to a bound."""
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
 
-    def __missing__(self, word: str) -> int:
-        import xxhash
 
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word)
-        return value
+#: A number for each byte that words are made of, the same for a capital and its small letter; 0 for all others.
+_CODES = np.zeros(256, np.uint64)
+_CODES[list(b"0123456789abcdefghijklmnopqrstuvwxyz")] = _mix(np.arange(1, 37, dtype=np.uint64) * _ODD)
+_CODES[ord("A") : ord("Z") + 1] = _CODES[ord("a") : ord("z") + 1]
+#: Bytes whose words are hashed in one go.
+PIECE = 1_000_000
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(29))
+class _Powers:
+    """Powers of an odd number and of its inverse, modulo 2 ** 64, as many as were asked for yet."""
+
+    def __init__(self, base: int) -> None:
+        self.bases, self.known = (base, pow(base, -1, 1 << 64)), [np.ones(1, np.uint64)] * 2
+
+    def first(self, n: int) -> list[np.ndarray]:
+        if n > len(self.known[0]):
+            self.known = [np.multiply.accumulate(np.append(np.uint64(1), np.full(2 * n, base, np.uint64))) for base in self.bases]
+        return [x[:n] for x in self.known]
+
+
+_powers = _Powers(int(_ODD))
 
 
-def sketch(texts: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of several texts at once (at most 3200), given as word hashes: the text's index and the key, one entry each."""
-    sizes = np.array([max(0, len(t) - KMER + 1) for t in texts])
-    starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])[:-1]])
-    words = np.fromiter((w for t in texts for w in t), np.uint64, sum(map(len, texts)))
-    doc = np.repeat(np.arange(len(texts), dtype=np.uint64), sizes)
-    at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    where = np.repeat(starts, sizes) + at
-    kmer = np.zeros(len(where), np.uint64)
-    for j in range(KMER):
-        kmer = _mix(kmer * _ODD + words[where + j])
-    order = np.argsort((doc << np.uint64(52)) | (kmer >> np.uint64(12)))
-    same = np.concatenate([[False], (kmer[order][1:] == kmer[order][:-1]) & (doc[order][1:] == doc[order][:-1])])
-    index = np.arange(len(order))
+def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words ([a-z0-9]+ of the lower-cased text) of all texts, one after another, and the number of words of each.
+
+    The hash of a word is the sum of its bytes' numbers times powers by position, mixed; sums over words are differences of
+    running sums, brought to the same powers by the inverse.
+    """
+    # Only outside ASCII can lower-casing do more than the table of codes.
+    parts = [(t if t.isascii() else t.lower()).encode() for t in texts]
+    raw = np.frombuffer(b" ".join(parts), np.uint8)
+    edges = np.flatnonzero(np.diff(_CODES[raw] != 0, prepend=False, append=False))
+    first, last = edges[::2], edges[1::2]
+    words = np.empty(len(first), np.uint64)
+    cuts = np.append(np.searchsorted(first, np.arange(0, len(raw), PIECE)), len(first))
+    for i, j in zip(cuts[:-1], cuts[1:]):
+        if i < j:
+            start, piece = first[i], raw[first[i] : last[j - 1]]
+            up, down = _powers.first(len(piece))
+            sums = np.append(np.uint64(0), np.cumsum(_CODES[piece] * up))
+            words[i:j] = _mix((sums[last[i:j] - start] - sums[first[i:j] - start]) * down[first[i:j] - start])
+    ends = np.cumsum([len(p) + 1 for p in parts])
+    return words, np.diff(np.searchsorted(first, ends), prepend=0)
+
+
+def _grams(words: np.ndarray, sizes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the n-word sequences inside each text, and the number of them in each."""
+    gram = np.zeros(max(0, len(words) - n + 1), np.uint64)
+    for j in range(n):
+        gram = _mix(gram * _ODD + words[j : j + len(gram)])
+    counts = np.maximum(sizes - n + 1, 0)
+    starts = np.cumsum(sizes) - sizes
+    return gram[np.arange(counts.sum()) + np.repeat(starts - (np.cumsum(counts) - counts), counts)], counts
+
+
+def sketch(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of several texts at once (at most 65,536): the text's index and the key, one entry each, keys of a text side by side.
+
+    words are the word hashes of all texts, one text after another, sizes their numbers.
+    """
+    kmer, counts = _grams(words, sizes, KMER)
+    doc = np.repeat(np.arange(len(sizes)), counts)
+    order = np.argsort((doc.astype(np.uint64) << np.uint64(48)) | (kmer >> np.uint64(16)))
+    by_doc = kmer[order]
+    same = np.zeros(len(order), bool)
+    same[1:] = (by_doc[1:] == by_doc[:-1]) & (doc[order][1:] == doc[order][:-1])
+    # Sorting leaves equal k-mers in any order; they are counted in that of the text.
+    equal = same.copy()
+    equal[:-1] |= same[1:]
+    order[equal] = order[equal][np.lexsort((order[equal], np.cumsum(~same)[equal]))]
+    index = np.arange(len(order), dtype=np.uint64)
     occurrence = np.empty(len(order), np.uint64)
-    occurrence[order] = (index - np.maximum.accumulate(np.where(same, 0, index))).astype(np.uint64)
+    occurrence[order] = index - np.maximum.accumulate(np.where(same, np.uint64(0), index))
     labelled = kmer + occurrence * _ODD
-    docs, keys = [], []
+    none, low = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0xFFFFFFFF)
+    keys, full = np.empty((len(sizes) * BINS, ROUNDS), np.uint64), np.empty((len(sizes) * BINS, ROUNDS), bool)
     for r in range(ROUNDS):
         value = _mix(labelled ^ _mix(np.array([r + 1], np.uint64) * _ODD))
-        group = doc * np.uint64(BINS) + value % np.uint64(BINS)
-        order = np.argsort((group << np.uint64(48)) | (value >> np.uint64(16)))
-        sorted_group = group[order]
-        first = np.flatnonzero(np.concatenate([[True], sorted_group[1:] != sorted_group[:-1]])) if len(order) else np.array([], int)
-        full = np.diff(np.append(first, len(order))) >= SAMPLED
-        first = first[full]
-        chosen = np.sort(np.stack([order[first + j] for j in range(SAMPLED)], 1), axis=1)
-        key = np.full(len(first), r + 1, np.uint64)
+        group = doc * BINS + (value % np.uint64(BINS)).astype(np.int64)
+        # The upper half of the value decides, then the place in the text, which the lower half holds.
+        value = (value & ~low) | index
+        chosen = np.empty((SAMPLED, len(full)), np.uint64)
+        for j in range(SAMPLED):
+            chosen[j] = none
+            np.minimum.at(chosen[j], group, value)
+            value[(chosen[j][chosen[j] != none] & low).astype(np.int64)] = none
+        full[:, r] = (chosen != none).all(axis=0)
+        places = np.sort(chosen[:, full[:, r]] & low, axis=0).astype(np.int64)
+        key = np.full(places.shape[1], r + 1, np.uint64)
         for j in range(SAMPLED):
-            key = _mix(key * _ODD + kmer[chosen[:, j]])
-        docs.append((sorted_group[first] // np.uint64(BINS)).astype(np.int64))
-        keys.append(_mix(key + sorted_group[first] % np.uint64(BINS)).astype(np.int64))
-    docs, keys = np.concatenate(docs), np.concatenate(keys)
+            key = _mix(key * _ODD + kmer[places[j]])
+        keys[full[:, r], r] = _mix(key + np.flatnonzero(full[:, r]).astype(np.uint64) % np.uint64(BINS))
     # Keys of a text lie side by side, so its columns compress well on their way.
-    order = np.argsort(docs, kind="stable")
-    return docs[order], keys[order]
+    return np.nonzero(full)[0] // BINS, keys[full].view(np.int64)
 
 
 _SEEDS = [np.uint32(x >> np.uint64(32)) | np.uint32(1) for x in _mix(np.arange(1, 129, dtype=np.uint64) * _ODD)]
 
 
-def signatures(texts: list[list[int]]) -> np.ndarray:
+def signatures(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The last bits of 128 minima of the three-word sequences of each text, as two numbers; each text has three words or more."""
-    sizes = np.array([len(t) - SHINGLE + 1 for t in texts])
-    starts = np.cumsum(sizes) - sizes
-    words = np.fromiter((w for t in texts for w in t), np.uint64, sum(map(len, texts)))
-    where = np.arange(sizes.sum()) + np.repeat(np.arange(len(texts)) * (SHINGLE - 1), sizes)
-    gram = np.zeros(len(where), np.uint64)
-    for j in range(SHINGLE):
-        gram = _mix(gram * _ODD + words[where + j])
-    gram = (_mix(gram) >> np.uint64(32)).astype(np.uint32)
-    bits = np.empty((len(texts), len(_SEEDS)), np.uint8)
+    gram, counts = _grams(words, sizes, SHINGLE)
+    gram, starts = (_mix(gram) >> np.uint64(32)).astype(np.uint32), np.cumsum(counts) - counts
+    least = np.empty((len(_SEEDS), len(sizes)), np.uint32)
     for k, seed in enumerate(_SEEDS):
-        least = np.minimum.reduceat(gram * seed, starts).astype(np.uint64)
-        bits[:, k] = _mix(least * _ODD) & np.uint64(1)
-    return np.packbits(bits, axis=1).view(np.int64)
+        np.minimum.reduceat(gram * seed, starts, out=least[k])
+    bits = (_mix(least.astype(np.uint64) * _ODD) & np.uint64(1)).astype(np.uint8)
+    return np.packbits(np.ascontiguousarray(bits.T), axis=1).view(np.int64)
 
 
 KEYED = "key long, fp long, sign long, more long"
 
 
 def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    number, seen = _Hashes(), set()
+    seen = set()
     for batch in batches:
-        for at in range(0, len(batch), 2000):
+        # Texts of a piece in one go, so that it stays in the processor's cache; at most 2000.
+        run = batch["text"].str.len().cumsum() // PIECE * len(batch) + np.arange(len(batch)) // 2000
+        for _, part in batch.groupby(run.to_numpy(), sort=False):
             fps, texts = [], []
-            for fp, text in zip(batch["fp"].iloc[at : at + 2000], batch["text"].iloc[at : at + 2000]):
+            for fp, text in zip(part["fp"], part["text"]):
                 if fp not in seen:
                     # Remembered up to a bound; what is read twice falls together after the shuffle.
                     if len(seen) > 200_000:
                         seen.clear()
                     seen.add(fp)
-                    words = WORD.findall(text.lower())
-                    if len(words) >= LEAST_WORDS:
-                        fps.append(fp)
-                        texts.append(list(map(number.__getitem__, words)))
+                    fps.append(fp)
+                    texts.append(text)
             if texts:
-                doc, key = sketch(texts)
-                sign, own = signatures(texts), np.array(fps, np.int64)
-                yield pd.DataFrame({"key": key, "fp": own[doc], "sign": sign[doc, 0], "more": sign[doc, 1]})
+                words, sizes = hashed_words(texts)
+                long = sizes >= LEAST_WORDS
+                if long.any():
+                    words, sizes, own = words[np.repeat(long, sizes)], sizes[long], np.array(fps, np.int64)[long]
+                    doc, key = sketch(words, sizes)
+                    sign = signatures(words, sizes)
+                    yield pd.DataFrame({"key": key, "fp": own[doc], "sign": sign[doc, 0], "more": sign[doc, 1]})
 
 
 def fingerprinted(records: DataFrame, record_id: str, text: str) -> DataFrame:
@@ -174,12 +224,41 @@ def candidates(texts: DataFrame, sample: int = SAMPLE) -> DataFrame:
     mine, other = F.pmod(F.xxhash64("fp"), "blocks"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     dealt = keyed.withColumn("mine", mine).withColumn("other", other)
     cell = F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")))
-    dealt = dealt.select("fp", "sign", "more", cell.alias("cell")).repartition("cell").distinct()
-    one, two = (dealt.select("cell", *[F.col(c).alias(f"{c}_{x}") for c in ("fp", "sign", "more")]) for x in "ab")
-    # A condition on both sides at once is not pushed below the shuffle, so both sides share it.
-    met = one.join(two, "cell").where("fp_a < fp_b")
-    apart = F.bit_count(F.col("sign_a").bitwiseXOR(F.col("sign_b"))) + F.bit_count(F.col("more_a").bitwiseXOR(F.col("more_b")))
-    return met.where(apart <= 128 - AGREEING).select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).repartition("a").distinct()
+    dealt = dealt.select(cell.alias("cell"), "fp", "sign", "more").repartition("cell").sortWithinPartitions("cell", "fp")
+    return dealt.mapInArrow(_met, "a long, b long").repartition("a").distinct()
+
+
+def _pairs(cell: np.ndarray, fp: np.ndarray, sign: np.ndarray, more: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Pairs of whole cells; rows are in the order of cell and fp."""
+    new = np.append(True, (cell[1:] != cell[:-1]) | (fp[1:] != fp[:-1]))
+    cell, fp, sign, more = (x[new] for x in (cell, fp, sign, more))
+    # How many later rows of its cell each row meets.
+    later = np.searchsorted(cell, cell, "right") - np.arange(len(cell)) - 1
+    rows = np.flatnonzero(later)
+    total = np.cumsum(later[rows])
+    for part in np.split(rows, np.flatnonzero(np.diff(total // PAIRS)) + 1):
+        one = np.repeat(part, later[part])
+        two = np.arange(len(one)) - np.repeat(np.cumsum(later[part]) - later[part], later[part]) + one + 1
+        apart = np.bitwise_count((sign[one] ^ sign[two]).view(np.uint64)) + np.bitwise_count((more[one] ^ more[two]).view(np.uint64))
+        near = apart <= 128 - AGREEING
+        yield pa.RecordBatch.from_arrays([pa.array(fp[one[near]]), pa.array(fp[two[near]])], ["a", "b"])
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b), a < b, with signatures close enough in each cell, of rows in the order of cell and fp; most cells have one row."""
+    kept: list[list[np.ndarray]] = []
+    for batch in batches:
+        if batch.num_rows:
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "fp", "sign", "more")]
+            # The last cell may go on in the next batch.
+            cell = columns[0]
+            begun = np.searchsorted(cell, cell[-1])
+            if begun or (kept and kept[-1][0][-1] != cell[-1]):
+                yield from _pairs(*map(np.concatenate, zip(*kept, [c[:begun] for c in columns])))
+                kept = []
+            kept.append([c[begun:] for c in columns])
+    if kept:
+        yield from _pairs(*map(np.concatenate, zip(*kept)))
 
 
 def banded(pairs: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
@@ -205,12 +284,16 @@ class _Read:
     """What verification needs of a text's words, made once for all its pairs: word numbers and distinct sequences of three."""
 
     def __init__(self, text: str, number: dict[str, int]) -> None:
-        self.words = np.array([number.setdefault(w, len(number)) for w in text.split()], np.int32)
+        words = text.split()
+        for word in set(words).difference(number):
+            number[word] = len(number)
+        self.words = np.array([*map(number.__getitem__, words)], np.int32)
 
     def index(self, base: int) -> None:
         """Word numbers lie below base, so the codes are exact as long as they fit."""
         w, n = self.words.astype(np.int64), len(self.words)
-        self.sequences = np.unique((w[: n - 2] * base + w[1 : n - 1]) * base + w[2:])
+        codes = np.sort((w[: n - 2] * base + w[1 : n - 1]) * base + w[2:])
+        self.sequences = codes[np.append(True, codes[1:] != codes[:-1])] if len(codes) else codes
 
 
 def _common_at_least(one: _Read, two: _Read, matched: int) -> int:
@@ -245,8 +328,13 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _bodies(texts: DataFrame, fps: DataFrame) -> DataFrame:
     """fp and the words of the text, a blank between them, of the wanted fingerprints, each once."""
+    wanted = cut_lineage(fps.select("fp").distinct())
+    word, bit = F.pmod(F.shiftright("fp", 6), F.lit(MARKS)), F.expr("shiftleft(1L, cast(fp & 63 AS int))")
+    marks = wanted.groupBy(word.alias("mark")).agg(F.bit_or(bit).alias("bits"))
+    marked = texts.select("fp", "text").join(F.broadcast(marks), word == F.col("mark")).where(F.col("bits").bitwiseAND(bit) != 0)
     words = F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "))
-    return texts.select("fp", words.alias("text")).join(fps.select("fp").distinct(), "fp", "left_semi").dropDuplicates(["fp"])
+    # Not a semi-join, which would be moved below the marks.
+    return marked.select("fp", words.alias("text")).join(wanted, "fp").dropDuplicates(["fp"])
 
 
 def similar_texts(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
